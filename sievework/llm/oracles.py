@@ -32,3 +32,22 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
   CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
 FROM q
 """
+
+SUBSTRINGS = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), p AS (
+  SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS i FROM w
+), h AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(ws[i:i + 12], ' ')) AS first_id FROM p
+), g AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS k FROM h WHERE first_id < doc_id
+), r AS (
+  SELECT doc_id, list(k) AS gone FROM g GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, k: NOT list_contains(gone, k)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN r ON w.doc_id = r.doc_id
+"""
+
+SIMHASH = None

@@ -81,3 +81,48 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a cache of its own for each call, so that the result never rests on an earlier run
     counted = count_tokens(load(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), new_path(spark, "token-cache"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query("op2_substring_dedup", oracles.SUBSTRINGS)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import dedup_substrings
+
+    found = dedup_substrings(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op3_decontaminate")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaked documents with the passages found in them; documents without a leak have no row."""
+    from .leaks import find_leaks, leaked_documents
+
+    return leaked_documents(find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")))
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score_documents
+
+    docs = load(spark, sf_dir, "documents")
+    return score_documents(docs, fit(docs, load(spark, sf_dir, "labels")))
+
+
+#: The rules that the query op6 is asked for.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query("op6_url_filter")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import fit_classes, fit_words, judge_urls
+
+    pages = load(spark, sf_dir, "pages")
+    model = fit_classes(pages, fit_words(pages), URL_RULES)
+    return judge_urls(pages, model, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query("op7_simhash", oracles.SIMHASH)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    found = near_duplicates(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
