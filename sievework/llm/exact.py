@@ -123,7 +123,7 @@ def _bytes(digests: np.ndarray) -> bytes:
     return digests.astype(">u8").tobytes()
 
 
-def _compacted(table: pa.Table) -> pa.Table:
+def _compacted(table):
     runs = [
         Run(_keys(r["digests"]), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["counts"], np.int64), np.frombuffer(r["kept"], np.int64), np.frombuffer(r["bloom"], np.uint8))
         for r in table.to_pylist()

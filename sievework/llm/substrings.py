@@ -73,7 +73,7 @@ def factors(sources: np.ndarray, window: int) -> list[tuple[int, int, int]]:
 
 
 def _asking(buckets: int, window: int):
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         p = Phrases(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), window)
         rows = p.dealt(buckets)
         return pa.table({
@@ -84,7 +84,7 @@ def _asking(buckets: int, window: int):
     return run
 
 
-def _answered(table: pa.Table) -> pa.Table:
+def _answered(table):
     """Of one range of the index: for each block, where its phrases have an earlier source, and which."""
     asked = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
     own = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("sources").to_pylist()])
@@ -102,7 +102,7 @@ def _answered(table: pa.Table) -> pa.Table:
 
 
 def _parsed(buckets: int, window: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(docs, answers):
         p = Phrases(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), window)
         least = p.first.copy()
         places = dict(p.dealt(buckets))
