@@ -6,8 +6,8 @@ if no token that ends u at some time of the merging joins one that begins t at t
 So one pass over the bytes fills ``last[i]``, the unique valid last token of each prefix, and the encoding is read off from the end.
 Appending bytes only continues the table; an edit keeps the table before it.
 
-A piece is a match of the split pattern. As the library does, a piece that is itself in the vocabulary is that token. Pieces repeat, so
-each worker keeps the encodings of those it met in a bounded dictionary.
+A piece is a match of the split pattern. As the library does, a piece that is itself in the vocabulary is that token. Pieces repeat and
+begin alike, so each worker keeps the last tokens of the short prefixes it met, and the encodings of whole pieces, in bounded dictionaries.
 
 Defined cases: a null text is empty and has no tokens; a null doc_id stays null; an empty table gives no rows.
 """
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Entries in a worker's dictionaries of pieces and of pairs.
-MEMORY = 150_000
+#: Entries in a worker's dictionaries of pieces, prefixes and pairs; bytes of a prefix that is kept.
+MEMORY, SHORT = 300_000, 40
 NEVER = 1 << 60
 
 
@@ -67,11 +67,20 @@ class Codec:
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks), default=0)
+        self.packed_token = {rank: rank.to_bytes(4, "little") for rank in ranks.values()}
+        #: Tokens by their bytes from the last to the first; -1 leads to the token that begins there.
+        self.ends: dict = {}
+        for token, rank in ranks.items():
+            node = self.ends
+            for b in reversed(token):
+                node = node.setdefault(b, {})
+            node[-1] = rank
         self.alone: dict[int, bool] = {}
         self.edges: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.prefixes: dict[bytes, int] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
 
@@ -123,21 +132,35 @@ class Codec:
             if (ok := self.alone.get(token)) is None:
                 ok = self.alone[token] = self.merged(self.tokens[token]) == [token]
             return ok
-        if (ok := self.pairs.get((before, token))) is None:
-            if len(self.pairs) >= 2 * MEMORY:
+        if (ok := self.pairs.get(before << 32 | token)) is None:
+            if len(self.pairs) >= MEMORY:
                 self.pairs.clear()
-            ok = self.pairs[before, token] = self.fits(-1, token) and self.apart(before, token)
+            ok = self.pairs[before << 32 | token] = self.fits(-1, token) and self.apart(before, token)
         return ok
 
     def fill(self, data: bytes, last: list[int], start: int) -> None:
-        get, fits, longest = self.ranks.get, self.fits, self.longest
+        pair, fits, prefixes, ends = self.pairs.get, self.fits, self.prefixes, self.ends
         for end in range(start + 1, len(data) + 1):
-            for begin in range(max(0, end - longest), end):
-                if (token := get(data[begin:end])) is not None and fits(last[begin], token):
-                    last.append(token)
+            if end <= SHORT and (token := prefixes.get(data[:end])) is not None:
+                last.append(token)
+                continue
+            found, node, at = [], ends, end
+            while at and (node := node.get(data[at - 1])) is not None:
+                at -= 1
+                if (token := node.get(-1)) is not None:
+                    found.append((last[at], token))
+            for before, token in reversed(found):  # the longest first: mostly it is the one
+                if (ok := pair(before << 32 | token)) is None:
+                    ok = fits(before, token)
+                if ok:
                     break
             else:
                 raise ValueError("no valid last token")
+            last.append(token)
+            if end <= SHORT:
+                if len(prefixes) >= MEMORY:
+                    prefixes.clear()
+                prefixes[data[:end]] = token
 
     def piece(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
@@ -149,10 +172,12 @@ class Codec:
         known, out = self.pieces, []
         for p in self.split.findall(text):
             if (ids := known.get(p)) is None:
-                ids = np.array(self.piece(p.encode()), "<u4").tobytes()
+                if (ids := self.older.get(p)) is None:
+                    ids = b"".join(map(self.packed_token.__getitem__, self.piece(p.encode())))
                 if len(p) <= 64:
-                    if len(known) >= MEMORY:
-                        known.clear()
+                    if len(known) >= MEMORY:  # what is in use comes back from the older half
+                        self.older, self.pieces = known, {}
+                        known = self.pieces
                     known[p] = ids
             out.append(ids)
         return b"".join(out)
