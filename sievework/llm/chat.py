@@ -54,7 +54,7 @@ def _turn(piece: Column) -> Column:
     for k, v in NAMES.items():
         role = F.when(name == v, k).otherwise(role)
     body = F.substring(piece, F.length(name) + 7, F.length(piece))
-    return F.struct(role.alias("role"), unescaped(body).alias("text"), ((name != "") & ~F.contains(body, F.lit("### "))).alias("ok"))
+    return F.struct(role.alias("role"), unescaped(body).alias("text"), ((name != "") & ~F.contains(body, F.lit("### ")) & ~F.contains(body, F.lit("</turn>"))).alias("ok"))
 
 
 def parsed(formatted: Column) -> Column:

@@ -33,8 +33,6 @@ MASKS = ["111010101", "1100100111", "11010100101", "1110001011"]
 MIN_WORDS, MIN_ALIKE, SHORTEST = 13, 0.8, 8
 #: Bytes of benchmark text in a block.
 BLOCK_BYTES = 8 << 20
-#: What a differing word costs when a span is extended, and how far the sum may fall below its best.
-PENALTY, DROP = 3, 12
 NO_WORDS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 LEAKS = "doc_id {doc}, item_id {item}, start long, n_words long, n_equal long"
 
@@ -108,15 +106,16 @@ class Block:
 
 
 def _extended(equal: np.ndarray, seed: int) -> tuple[int, int]:
-    """The span around seed: to each side as far as the sum of 1 for an equal and -PENALTY for another word is greatest, until it falls by DROP."""
-
-    def reach(x: np.ndarray) -> int:
-        total = np.cumsum(np.where(x, 1, -PENALTY))
-        fallen = np.flatnonzero(np.maximum.accumulate(np.maximum(total, 0)) - total >= DROP)
-        total = total[: fallen[0]] if len(fallen) else total
-        return int(np.argmax(total)) + 1 if len(total) and total.max() > 0 else 0
-
-    return seed - reach(equal[:seed][::-1]), seed + reach(equal[seed:])
+    """The longest span with seed in it of which MIN_ALIKE are equal, without differing words at its ends."""
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1 - MIN_ALIKE, -MIN_ALIKE))]).round(6)
+    # a start is worth a look if no earlier one has as small a sum; its farthest end comes from the largest sum from there on
+    starts = np.flatnonzero(total[: seed + 1] < np.concatenate([[np.inf], np.minimum.accumulate(total[:seed])]))
+    ahead = np.maximum.accumulate(total[seed + 1 :][::-1])[::-1]
+    ends = len(ahead) - np.searchsorted(ahead[::-1], total[starts], "left")
+    best = int(np.argmax(np.where(ends > 0, ends - starts, -len(total))))
+    s, e = int(starts[best]), seed + int(ends[best])
+    same = np.flatnonzero(equal[s:e])
+    return s + int(same[0]), s + int(same[-1]) + 1
 
 
 def _searched(shared):
