@@ -178,9 +178,9 @@ def repair_mojibake(c: Column) -> Column:
         has = has | F.contains(c, F.lit(m))
     latin = F.translate(c, *_windows_1252())
     able = F.rlike(latin, F.lit(r"^[\x{00}-\x{FF}]*$"))
-    data = F.encode(latin, "ISO-8859-1")
+    data = F.encode(F.when(able, latin), "ISO-8859-1")
     read = F.when(F.is_valid_utf8(data.cast("string")), data.cast("string"))
-    return F.when(has & able & read.isNotNull() & ~F.contains(read, F.lit("�")), read).otherwise(c)
+    return F.when(has & read.isNotNull() & ~F.contains(read, F.lit("�")), read).otherwise(c)
 
 
 REDACTED = "[REDACTED]"

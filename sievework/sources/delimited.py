@@ -96,7 +96,7 @@ def detect_encoding(data: bytes) -> str:
     try:
         data.decode("utf-8")
     except UnicodeDecodeError as e:
-        if e.start < len(data) - 4:
+        if len(data) < SAMPLE_BYTES or e.start < len(data) - 4:  # a sample may end within a character
             return "windows-1252"
     return "utf-8"
 
