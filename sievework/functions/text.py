@@ -161,7 +161,8 @@ def boolean_token(c: Column) -> Column:
 MOJIBAKE = ["â€™", "â€œ", "â€", "Ã©", "Ã¨", "Ã ", "Ã¢", "Ã®", "Ã´", "Ã³", "Ã±", "Ã¼", "Ã¡", "Ã­", "Ãº", "â€”", "â€¦"]
 
 
-def _windows_1252() -> tuple[str, str]:
+def windows_1252() -> tuple[str, str]:
+    """The signs of Windows-1252 at 0x80 to 0x9F, and the characters of these codes."""
     pairs = []
     for b in range(0x80, 0xA0):
         try:
@@ -176,7 +177,7 @@ def repair_mojibake(c: Column) -> Column:
     has = F.lit(False)
     for m in MOJIBAKE:
         has = has | F.contains(c, F.lit(m))
-    latin = F.translate(c, *_windows_1252())
+    latin = F.translate(c, *windows_1252())
     able = F.rlike(latin, F.lit(r"^[\x{00}-\x{FF}]*$"))
     data = F.encode(F.when(able, latin), "ISO-8859-1")
     read = F.when(F.is_valid_utf8(data.cast("string")), data.cast("string"))

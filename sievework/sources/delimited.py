@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import readable_headers
 from ..functions.order import quoted
+from ..functions.text import windows_1252
 
 SAMPLE_BYTES, SAMPLE_RECORDS = 64 << 10, 24
 SEPARATORS = [",", ";", "\t", "|"]
@@ -111,12 +112,16 @@ def read_delimited(spark: SparkSession, path: str, separator: str | None = None,
     separator = separator or detect_separator(text, path)
     first = records(text, separator, 1)
     names = readable_headers(first[0] if header else [None] * len(first[0]))
-    reader = spark.read.option("sep", separator).option("header", header).option("quote", '"').option("escape", '"').option("emptyValue", EMPTY).option("encoding", encoding).option("multiLine", multiline).option("mode", "PERMISSIVE")
+    reader = spark.read.option("sep", separator).option("header", header).option("quote", '"').option("escape", '"').option("emptyValue", EMPTY).option("encoding", "utf-8" if encoding == "utf-8" else "iso-8859-1").option("multiLine", multiline).option("mode", "PERMISSIVE")
     if line := line_separator(text):
         reader = reader.option("lineSep", line)
     schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
     df = reader.schema(schema).option("enforceSchema", True).csv(path)
-    return df.select(*[F.when(quoted(n) == EMPTY, "").otherwise(quoted(n)).alias(n) for n in names])
+    value = quoted
+    if encoding != "utf-8":  # Spark reads no Windows-1252: Latin-1, and then the 27 signs that differ
+        signs, codes = windows_1252()
+        value = lambda n: F.translate(quoted(n), codes, signs)
+    return df.select(*[F.when(quoted(n) == EMPTY, "").otherwise(value(n)).alias(n) for n in names])
 
 
 def preview_headers(spark: SparkSession, path: str, separator: str | None = None) -> dict[str, list[str]]:
