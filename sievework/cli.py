@@ -19,7 +19,7 @@ from .sources.files import read_json, read_parquet, read_workbook
 MAX_JOBS = 64
 WRITERS = {
     "csv": sinks.write_csv, "csv-excel": lambda d, p: sinks.write_csv(d, p, excel=True), "csv-parts": sinks.write_csv_parts, "json": sinks.write_json, "parquet": sinks.write_parquet,
-    "sql": sinks.write_sql, "tsql": sinks.write_tsql, "sqlite": sinks.write_sqlite, "xlsx": sinks.write_workbook, "bundle": sinks.write_bundle,
+    "sql": sinks.write_sql, "tsql": sinks.write_tsql, "sqlite": sinks.write_sqlite, "xlsx": sinks.write_workbook, "bulk": sinks.write_bulk, "bundle": sinks.write_bundle,
 }
 
 

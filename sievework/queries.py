@@ -13,7 +13,7 @@ from .functions.order import with_rid
 from .operators import cleaning, explore, joins, outliers, profile, quality
 from .operators.recipe import Recipe
 from .plans import dialect
-from .sources import sinks
+from .sources import files, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -267,3 +267,34 @@ query("parse_strict", "events", "SELECT event_id, CAST(user_id AS BIGINT) AS who
     )
 )
 query("render_numbers", "lineitem", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = floor(l_quantity) THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.0' ELSE CAST(l_quantity AS VARCHAR) END AS t FROM lineitem")(lambda d: d.select("l_orderkey", "l_linenumber", T.render_text(F.col("l_quantity"), "double").alias("t")))
+
+# Import
+
+_WRITTEN = lambda o: o.select("o_orderkey", F.format_string("%,.2f", "o_totalprice").alias("price"), F.date_format("o_orderdate", "d/M/yyyy").alias("day"), F.when(F.col("o_orderkey") % 50 == 0, "?").otherwise(F.col("o_custkey").cast("string")).alias("customer"))
+query("import_conventions", "orders", "SELECT o_orderkey, round(o_totalprice, 2) AS price, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 50 = 0 THEN '?' ELSE CAST(o_custkey AS VARCHAR) END AS customer FROM orders")(
+    lambda o: files.apply_conventions(_WRITTEN(o), {"price": "comma_dot", "day": "dmy", "customer": "integer"})[0]
+)
+query("import_report", "orders", "SELECT 'price' AS column_name, 0 AS invalid, true AS applied UNION ALL SELECT 'day', 0, true UNION ALL SELECT 'customer', count(*) FILTER (o_orderkey % 50 = 0), false FROM orders")(
+    lambda o: o.sparkSession.createDataFrame([(r["column"], r["invalid"], r["applied"]) for r in files.apply_conventions(_WRITTEN(o), {"price": "comma_dot", "day": "dmy", "customer": "integer"})[1]], "column_name string, invalid long, applied boolean")
+)
+query("date_order", "orders", "SELECT 'dmy' AS day, 'mdy' AS us, 'iso' AS iso, 'ambiguous' AS low")(
+    lambda o: o.sparkSession.createDataFrame([tuple(profile.date_order(d, c) for c in ("day", "us", "iso", "low")) for d in [o.select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"), F.date_format("o_orderdate", "M/d/yy").alias("us"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"), F.concat(F.lit("3/"), (F.col("o_orderkey") % 12 + 1).cast("string"), F.lit("/2020")).alias("low"))]], "day string, us string, iso string, low string")
+)
+query("suggested_types", "events", "SELECT 'integer' AS user_id, 'decimal' AS value, 'date' AS ts, 'boolean' AS flag, NULL AS event_type")(
+    lambda e: e.sparkSession.createDataFrame([tuple(profile.suggested_types(e.select(F.col("user_id").cast("string").alias("user_id"), (F.col("value") + 0.001).cast("decimal(20,4)").cast("string").alias("value"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.when(F.col("event_id") % 2 == 0, "Yes").otherwise("no").alias("flag"), "event_type"), ["user_id", "value", "ts", "flag", "event_type"]).values())], "user_id string, value string, ts string, flag string, event_type string")
+)
+query("page_rows", "lineitem", "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, l_returnflag FROM lineitem ORDER BY lineitem.l_orderkey, lineitem.l_linenumber LIMIT 50 OFFSET 100")(
+    lambda d: files.page(with_rid(d.select("l_orderkey", "l_linenumber", "l_returnflag"), ["l_orderkey", "l_linenumber"]), 100, 50)
+)
+query("compare_tolerant", "customer", "SELECT count(*) AS matched, CAST(0 AS BIGINT) AS conflicting FROM customer")(
+    lambda c: joins.compare_keys(c, c.withColumns({"c_name": F.concat(F.lit(" "), F.upper("c_name")), "c_acctbal": F.col("c_acctbal") * (1 + 1e-15)}), ["c_custkey"], joins.CompareOptions(True, True, True)).select("matched", "conflicting")
+)
+query("cast_exclude_rows", "events", "SELECT event_id, CAST(user_id AS BIGINT) AS u FROM events WHERE event_id % 9 <> 0")(
+    lambda e: Recipe.from_dict({"casts": [{"column": "u", "target": "integer", "policy": "excludeRow"}]}).apply(e.select("event_id", F.when(F.col("event_id") % 9 == 0, "1d").otherwise(F.col("user_id").cast("string")).alias("u")))
+)
+query("recipe_full", "orders", "SELECT yr, count(*) AS total_count, CAST(sum(total) AS DOUBLE) AS total_sum FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, CAST(floor(o_totalprice) AS DOUBLE) AS total FROM orders WHERE o_orderstatus = 'F') GROUP BY yr")(
+    lambda o: Recipe.from_dict({
+        "renames": [{"from": "o_totalprice", "to": "total"}], "filters": [{"column": "o_orderstatus", "op": "eq", "value": "F"}], "calculatedColumn": {"name": "yr", "op": "year", "left": {"column": "o_orderdate"}},
+        "groupSummary": {"keys": ["yr"], "aggregations": [{"column": "o_totalprice", "function": "count"}, {"column": "o_totalprice", "function": "sum"}]},
+    }).apply(o.withColumn("o_totalprice", F.floor("o_totalprice").cast("double")), "o_orderkey")
+)
