@@ -11,7 +11,7 @@ from .text import trim
 
 LONG = r"^[+-]?[0-9]+$"
 DOUBLE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-COMMA_NUMBER = r"^[+-]?([0-9]*|[0-9]{1,3}(\.[0-9]{3})+|[0-9]{1,3}( [0-9]{3})+),[0-9]+$"
+COMMA_NUMBER = r"^[+-]?([0-9]+|[0-9]{1,3}(\.[0-9]{3})+|[0-9]{1,3}( [0-9]{3})+),[0-9]+$"
 #: The largest integer up to which doubles hold every integer.
 EXACT = 1 << 53
 
@@ -40,10 +40,15 @@ def exact_number(c: Column) -> Column:
     return F.when(~whole | (F.abs(t.try_cast("decimal(38,0)")) <= EXACT), strict_double(c))
 
 
+def is_comma_decimal(t: Column) -> Column:
+    """Of a trimmed text: 1.234,5 or 1 234,5 or 1234,5."""
+    return F.rlike(t, F.lit(COMMA_NUMBER))
+
+
 def comma_decimal(c: Column) -> Column:
-    """1.234,5 or 1 234,5 or 1234,5 as 1234.5; other text stays."""
+    """Such a text as 1234.5; other text stays."""
     t = trim(c)
-    return F.when(F.rlike(t, F.lit(COMMA_NUMBER)) & (F.substring(t, 1, 1) != ","), F.replace(F.regexp_replace(t, "[. ]", ""), F.lit(","), F.lit("."))).otherwise(c)
+    return F.when(is_comma_decimal(t), F.replace(F.regexp_replace(t, "[. ]", ""), F.lit(","), F.lit("."))).otherwise(c)
 
 
 def leading_zero_code(c: Column) -> Column:

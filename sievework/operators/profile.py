@@ -42,30 +42,78 @@ def read_date(c: Column, pattern: str) -> Column:
     return F.when(F.year(value).between(MIN_YEAR, MAX_YEAR), value)
 
 
-def any_date(c: Column) -> Column:
-    return F.when((F.octet_length(c) <= T.SHORT_BYTES) & F.rlike(c, F.lit("[0-9]")), F.coalesce(*[read_date(c, f) for f in DATE_FORMATS]))
+#: English month names and the numbers that ISO dates have for them.
+MONTHS = {m: i for i, m in enumerate("January February March April May June July August September October November December".split(), 1)}
+
+
+def _month(c: Column) -> Column:
+    """The number of an English month, by its name or its first three letters, as text; null for anything else."""
+    low = F.lower(c)
+    table = F.create_map(*[F.lit(x) for name, i in MONTHS.items() for k in dict.fromkeys((name.lower(), name[:3].lower())) for x in (k, f"{i:02d}")])
+    return F.try_element_at(table, low)
+
+
+def any_date(t: Column) -> Column:
+    """A trimmed text under the first of DATE_FORMATS that reads it. One expression for all: the text is put in ISO order by its shape, and cast once; day before month, where both could be, and month before day where only that is a date."""
+    first = F.substring(t, 1, 1)
+    ymd, dmy, dmy_time = r"^([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})$", r"^([0-9]{1,2})([-/])([0-9]{1,2})[-/]([0-9]{4})$", r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}) ([0-9]{2}:[0-9]{2})$"
+    named, names_first = r"^([0-9]{1,2})[ -]([A-Za-z]{3,9})[ -]([0-9]{4})$", r"^([A-Za-z]{3,9}) ([0-9]{1,2}), ([0-9]{4})$"
+    part = lambda p, i: F.regexp_extract(t, p, i)
+    swapped = F.when(F.rlike(t, F.lit(dmy)), F.concat_ws("-", part(dmy, 4), part(dmy, 3), part(dmy, 1)))
+    iso = (
+        F.when(F.rlike(t, F.lit(ymd)), F.replace(t, F.lit("/"), F.lit("-")))
+        .when(F.rlike(t, F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\\.[0-9]{1,9})?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$")), F.regexp_replace(t, "(\\.[0-9]{6})[0-9]*", "$1"))
+        .when(F.rlike(t, F.lit("^[0-9]{8}$")), F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2)))
+        .when(F.rlike(t, F.lit(dmy_time)), F.regexp_replace(t, dmy_time, "$3-$2-$1 $4"))
+        .when(F.rlike(t, F.lit(named)), F.concat(part(named, 3), F.lit("-"), _month(part(named, 2)), F.lit("-"), part(named, 1)))
+        .when(F.rlike(t, F.lit(names_first)), F.concat(part(names_first, 3), F.lit("-"), _month(part(names_first, 1)), F.lit("-"), part(names_first, 2)))
+    )
+    # the cast to timestamp applies a zone if there is one; the session's zone stands for none, and goes again
+    read = F.coalesce(F.coalesce(iso, swapped).try_cast("timestamp_ntz"), F.when(F.contains(t, F.lit("/")), F.regexp_replace(t, dmy, "$4-$1-$3")).try_cast("timestamp_ntz"))
+    return F.when((F.octet_length(t) <= T.SHORT_BYTES) & (first.between("0", "9") | F.rlike(t, F.lit("[0-9]{4}$"))) & F.year(read).between(MIN_YEAR, MAX_YEAR), read)
+
+
+def _number(t: Column) -> Column:
+    """A trimmed text as a number that means one: no code with leading zeros, no whole number beyond 2**53."""
+    value = F.when((F.octet_length(t) <= T.SHORT_BYTES) & F.rlike(t, F.lit(P.DOUBLE)) & ~F.rlike(t, F.lit(r"^[+-]?0[0-9]")), t.try_cast("double"))
+    return F.when((F.abs(value) < float("inf")) & ((F.abs(value) <= P.EXACT) | ~F.rlike(t, F.lit(P.LONG))), value)
 
 
 def semantic_number(c: Column) -> Column:
-    """A number that means one: no code with leading zeros, no whole number beyond 2**53."""
-    return F.when(~P.leading_zero_code(c), P.exact_number(c))
+    return _number(T.trim(c))
 
 
 def readers(c: Column) -> dict[str, Column]:
     """What a text is under each type that may be suggested for it, null if it isn't."""
-    n = semantic_number(c)
-    return {"boolean": T.boolean_token(c), "integer": F.when(n == F.floor(n), n), "decimal": n, "date": any_date(c)}
+    t = T.trim(c)
+    n = _number(t)
+    return {"boolean": T.boolean_token(c), "integer": F.when(n == F.floor(n), n), "decimal": n, "date": any_date(t)}
+
+
+def _view(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Of text column i its text x, trimmed t, normalized m (if short), as a number n and as a date d. Worked out once, in projections that the aggregation above reads."""
+    short = lambda i: F.octet_length(f"t{i}") <= T.SHORT_BYTES
+    out = df.select(*[quoted(c).alias(f"x{i}") for i, c in enumerate(columns)], *[T.trim(quoted(c)).alias(f"t{i}") for i, c in enumerate(columns)])
+    out = out.withColumns({f"m{i}": F.when(short(i), T.normalize_text(F.col(f"t{i}"))) for i in range(len(columns))})
+    typed = {i: ~F.coalesce(F.col(f"m{i}").isin(T.SENTINELS), F.lit(False)) & (F.col(f"t{i}") != "") for i in range(len(columns))}
+    out = out.withColumns({f"v{i}": F.when(typed[i], F.col(f"t{i}")) for i in range(len(columns))})
+    return out.withColumns({f"n{i}": _number(F.col(f"v{i}")) for i in range(len(columns))} | {f"d{i}": any_date(F.col(f"v{i}")) for i in range(len(columns))})
+
+
+def _type_counts(i: int) -> list[Column]:
+    n = F.col(f"n{i}")
+    return [
+        F.count(f"v{i}").alias(f"typed{i}"), F.count_if(F.col(f"v{i}").isNotNull() & F.col(f"m{i}").isin(T.TRUE_WORDS + T.FALSE_WORDS)).alias(f"boolean{i}"),
+        F.count_if(n == F.floor(n)).alias(f"integer{i}"), F.count(n).alias(f"decimal{i}"), F.count(f"d{i}").alias(f"date{i}"),
+    ]
 
 
 def suggested_types(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
     """The type that at least 90 % of a text column's values (three or more, markers and blanks left out) have; of equals the first of boolean, integer, decimal, date."""
-    aggs = []
-    for i, c in enumerate(columns):
-        v = F.when(~T.sentinel(quoted(c)) & ~T.blank(quoted(c)), quoted(c))
-        aggs.append(F.count(v).alias(f"n{i}"))
-        aggs += [F.count(r).alias(f"{k}{i}") for k, r in readers(v).items()]
-    row = df.agg(*aggs).first() if aggs else {}
-    return {c: suggestion(row[f"n{i}"], {k: row[f"{k}{i}"] for k in ("boolean", "integer", "decimal", "date")}) for i, c in enumerate(columns)}
+    if not columns:
+        return {}
+    row = _view(df, columns).agg(*[x for i in range(len(columns)) for x in _type_counts(i)]).first()
+    return {c: suggestion(row[f"typed{i}"], {k: row[f"{k}{i}"] for k in ("boolean", "integer", "decimal", "date")}) for i, c in enumerate(columns)}
 
 
 def suggestion(n: int, counts: dict[str, int]) -> str | None:
@@ -97,27 +145,30 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     """One row per column: column_name, data_type, row_count, null_count, unique_count, min_text, max_text, empty_count, min_length, max_length, avg_length, sentinel_count,
     mojibake_count, untrimmed_count, comma_decimal_count, non_finite_count, mean, std, q1, median, q3, outlier_count, suggested_type, privacy_signal.
 
-    Two aggregations over the data (outliers need the quartiles), whatever the number of columns; the wide row is then unpivoted."""
+    Three aggregations over the data at most (of all columns, of the texts' signals, of outliers, which need the quartiles), whatever the number of columns."""
     names = columns or data_columns(df)
-    aggs, found = [F.count(F.lit(1)).alias("n")], {}
+    aggs, text_aggs, texts, found = [F.count(F.lit(1)).alias("n")], [], [], {}
     for i, c in enumerate(names):
         x, kind = quoted(c), kind_of(df, c)
         aggs += [F.count(x).alias(f"count{i}"), F.count_distinct(x).alias(f"unique{i}")]
         if not kind.startswith(("array", "struct", "map")):
             aggs += [F.min(x).cast("string").alias(f"min{i}"), F.max(x).cast("string").alias(f"max{i}")]
         if kind == "string":
-            typed = F.when(~T.sentinel(x) & ~T.blank(x), x)
-            aggs += [
-                F.count_if(T.trim(x) == "").alias(f"empty{i}"), F.min(F.length(x)).alias(f"short{i}"), F.max(F.length(x)).alias(f"long{i}"), F.avg(F.length(x)).alias(f"len{i}"),
-                F.count_if(T.sentinel(x)).alias(f"sentinel{i}"), F.count_if(T.repair_mojibake(x) != x).alias(f"moji{i}"), F.count_if(T.trim(x) != x).alias(f"untrim{i}"),
-                F.count_if(P.comma_decimal(x) != x).alias(f"comma{i}"), F.count(typed).alias(f"typed{i}"),
-                *[F.count(r).alias(f"{k}{i}") for k, r in readers(typed).items()],
+            texts.append(c)
+            j = len(texts) - 1
+            x, t, m = F.col(f"x{j}"), F.col(f"t{j}"), F.col(f"m{j}")
+            text_aggs += [
+                F.count_if(t == "").alias(f"empty{i}"), F.min(F.length(x)).alias(f"short{i}"), F.max(F.length(x)).alias(f"long{i}"), F.avg(F.length(x)).alias(f"len{i}"),
+                F.count_if(m.isin(T.SENTINELS)).alias(f"sentinel{i}"), F.count_if(T.repair_mojibake(x) != x).alias(f"moji{i}"), F.count_if(t != x).alias(f"untrim{i}"),
+                F.count_if(P.is_comma_decimal(t)).alias(f"comma{i}"), *_type_counts(j),
             ]
         elif is_number(kind):
             d = x.cast("double")
             f = F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d)
             aggs += [F.count_if(d.isNotNull() & f.isNull()).alias(f"inf{i}"), F.avg(f).alias(f"mean{i}"), F.stddev_samp(f).alias(f"std{i}"), F.count(f).alias(f"fin{i}"), F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}")]
     row = df.agg(*aggs).first().asDict()
+    if texts:
+        row |= _view(df, texts).agg(*text_aggs).first().asDict()
     fences = []
     for i, c in enumerate(names):
         if (q := row.get(f"q{i}")) and row[f"fin{i}"] >= 4:
@@ -127,7 +178,8 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     row |= df.agg(*fences).first().asDict() if fences else {}
     for i, c in enumerate(names):
         g, q = lambda k: row.get(f"{k}{i}"), row.get(f"q{i}") or [None] * 3  # noqa: B023
-        suggested = suggestion(g("typed"), {k: g(k) for k in ("boolean", "integer", "decimal", "date")}) if g("typed") is not None else None
+        j = texts.index(c) if c in texts else None
+        suggested = suggestion(row[f"typed{j}"], {k: row[f"{k}{j}"] for k in ("boolean", "integer", "decimal", "date")}) if j is not None else None
         found[c] = (
             c, kind_of(df, c), row["n"], row["n"] - g("count"), g("unique"), g("min"), g("max"), g("empty"), g("short"), g("long"), g("len"), g("sentinel"), g("moji"), g("untrim"), g("comma"),
             g("inf"), g("mean"), g("std"), *q, g("out"), suggested, privacy_signal(c),
