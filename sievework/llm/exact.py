@@ -23,6 +23,8 @@ from .common import checked_broadcast, written
 
 #: Rows in a memtable, entries that a range of the index is planned for, runs merged at once, filter bits an entry.
 MEMTABLE, RANGE_ROWS, FANOUT, BITS = 200_000, 500_000, 8, 10
+#: Rows of a group of copies that one task compares.
+GROUP_ROWS = 200
 WIDTH = 32
 NULL_ID = np.iinfo(np.int64).min
 RUN = "bucket int, n int, digests binary, ids binary, counts binary, kept binary, bloom binary"
@@ -153,10 +155,14 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     keyed = written(body.select("doc_id", digest.alias("digest"), sha.alias("text_sha256")), "digests")
     hits = written(build_index(keyed, keyed.count()), "digest-index")
     index = checked_broadcast(hits)
-    # hits are verified: every row of such a digest against the row that stays
+    # hits are verified: every row of such a digest against the row that stays. A large group is spread over several tasks, each of which gets the text that stays
     met = body.withColumn("digest", digest).join(index, "digest")
-    held = met.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.first("text").alias("held"))
-    unlike = written(met.join(held, "digest").filter(F.col("text") != F.col("held")).select("digest").distinct(), "digest-collisions")
+    salts = F.ceil(F.col("group_size") / GROUP_ROWS).cast("int")
+    one = met.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    single, several = one.filter("keepers = 1"), one.filter("keepers > 1").dropDuplicates(["digest"])
+    held = single.unionByName(several).select("digest", F.col("text").alias("held"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    spread = met.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
+    unlike = written(spread.join(held, ["digest", "salt"]).filter(F.col("text") != F.col("held")).select("digest").distinct(), "digest-collisions")
     out = keyed.join(hits, "digest", "left")
     if not unlike.isEmpty():
         bad = checked_broadcast(unlike)
