@@ -5,8 +5,8 @@ by Viterbi's algorithm into its likeliest words; a multinomial naive Bayes model
 that the rules decide, then judges the pages that they don't.
 
 Hosts are never grouped, so a host with a third of all pages costs no more than others; each worker keeps the splits it has made in a bounded dictionary. The
-word counts and the class counts are aggregated over all pages before anything is shuffled. What reaches the driver is bounded: the
-VOCABULARY most frequent words and the FEATURES most frequent pairs of class and word; they are the model's size.
+word counts and the class counts are aggregated over all pages before anything is shuffled. What reaches the driver is bounded by the model's size: words, and pairs of
+class and word, from that count on which at most VOCABULARY words, or FEATURES pairs, have; the count comes from how many words have each count.
 
 Defined cases: a null url or one without "://" has an empty host and path, which no rule fits; with no words to go by the classes'
 shares decide, a tie is allowed; if the rules decide no page, everything else is allowed; rows are judged one by one, so repeated rows
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 VOCABULARY, FEATURES, LEAST_COUNT, LONGEST_WORD = 50_000, 100_000, 2, 24
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
@@ -123,10 +125,21 @@ def word_counts(texts: DataFrame, column: str) -> DataFrame:
     return words.filter((F.length("word") > 0) & (F.length("word") <= LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def most_frequent(counts: DataFrame, most: int, least: int = 1) -> DataFrame:
+    """The rows of counts (n and others) whose n is so large that at most `most` rows have it or more. No row order and no top-k in one place: n takes few values, and those are counted."""
+    sizes = counts.filter(F.col("n") >= least).groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n"))
+    total, floor = 0, None
+    for r in sizes.toLocalIterator():
+        total += r["rows"]
+        if total > most:
+            break
+        floor = r["n"]
+    return counts.filter(F.col("n") >= (floor if floor is not None else 1 << 62))
+
+
 def fit_words(pages: DataFrame, html: str = "html") -> WordModel:
-    counts = word_counts(pages, html)
-    top = counts.filter(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    found = {r["word"]: r["n"] for r in top}
+    counts = written(word_counts(pages, html).filter(F.col("n") >= LEAST_COUNT), "word-counts")
+    found = {r["word"]: r["n"] for r in most_frequent(counts, VOCABULARY).collect()}
     return WordModel(found, sum(found.values()))
 
 
@@ -152,7 +165,8 @@ def fit_classes(pages: DataFrame, model: WordModel, rules: list[Rule], url: str
     decided = pages.select(host.alias("host"), path.alias("path")).mapInArrow(_tokenised(shared, rules), "verdict string, words array<string>")
     # one pass: a page's own entry is the null word
     words = decided.select("verdict", F.explode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("word")).groupBy("verdict", "word").agg(F.count("*").alias("n"))
-    rows = words.orderBy(F.col("word").isNotNull(), F.desc("n"), "verdict", "word").limit(FEATURES).collect()
+    words = written(words, "class-counts")
+    rows = words.filter("word is null").collect() + most_frequent(words.filter("word is not null"), FEATURES).collect()
     by: dict[str, dict[str, int]] = {}
     for r in rows:
         if r["word"] is not None:
