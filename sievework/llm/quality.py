@@ -2,13 +2,14 @@
 
 Two zstandard dictionaries are trained, one on text labelled good, one on text labelled bad. A whole text is cut into pieces of PIECE
 bytes, each compressed with either dictionary; the difference of the summed sizes, divided by the text's bytes, says which kind it is
-more like. A logistic curve fitted on further labelled rows turns it into a probability of label 1.
+more like. A logistic curve fitted on further labelled rows turns it into a probability of label 1. A short text's difference says little:
+it counts with the weight bytes / (bytes + PRIOR_BYTES), and what is left of the curve is the classes' shares.
 
 The fit takes a bounded sample of labelled rows (SAMPLE of each class, of each at most SAMPLE_CHARS characters for the dictionaries);
 scoring is row by row over whole texts and needs no shuffle. Labels of held-out rows, those whose crc32(doc_id as text) mod 5 is 0,
 are never used. Labels, ids, lang and source are no inputs of a score.
 
-Defined cases: null and empty texts have difference 0 and get the curve's value there; a document with several labels has the smaller; with no
+Defined cases: null and empty texts have weight 0 and get the curve's value there; a document with several labels has the smaller; with no
 usable labels of one class every score is that of the other (0 or 1), without any labels 0.5.
 """
 
@@ -28,6 +29,8 @@ from .common import written
 
 #: Rows of each class for the dictionaries and as many for the curve; characters of a row for the dictionaries; their bytes; bytes of a piece; zstandard's level.
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES, PIECE, LEVEL = 1500, 8192, 32 << 10, 512, 1
+#: Bytes at which a text's difference has half its weight.
+PRIOR_BYTES = 150
 #: Scores from here on are label 1.
 THRESHOLD = 0.3
 
@@ -37,16 +40,16 @@ def _compressor(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def difference(text: str | None, good: bytes, bad: bytes) -> float:
-    """How many bytes fewer a byte of text takes with the good dictionary."""
+def evidence(text: str | None, good: bytes, bad: bytes) -> tuple[float, float]:
+    """How many bytes fewer a byte of text takes with the good dictionary, times the weight, and the weight."""
     data = (text or "").encode()
     if not data:
-        return 0.0
+        return 0.0, 0.0
     g, b, total = _compressor(good), _compressor(bad), 0
     for i in range(0, len(data), PIECE):
         piece = data[i : i + PIECE]
         total += len(b.compress(piece)) - len(g.compress(piece))
-    return total / len(data)
+    return total / (len(data) + PRIOR_BYTES), len(data) / (len(data) + PRIOR_BYTES)
 
 
 @dataclass(frozen=True)
@@ -54,15 +57,16 @@ class QualityModel:
     good: bytes
     bad: bytes
     slope: float
+    level: float
     offset: float
 
     def score(self, text: Column) -> Column:
-        good, bad, slope, offset = self.good, self.bad, self.slope, self.offset
+        good, bad, slope, level, offset = self.good, self.bad, self.slope, self.level, self.offset
 
         @F.pandas_udf("double")
         def scored(texts: pd.Series) -> pd.Series:
-            d = np.array([difference(t, good, bad) for t in texts]) if good else np.zeros(len(texts))
-            return pd.Series(1 / (1 + np.exp(-np.clip(slope * d + offset, -700, 700))))
+            x = np.array([evidence(t, good, bad) for t in texts]).reshape(-1, 2) if good else np.zeros((len(texts), 2))
+            return pd.Series(1 / (1 + np.exp(-np.clip(x @ (slope, level) + offset, -700, 700))))
 
         return scored(text)
 
@@ -79,18 +83,18 @@ def _dictionary(texts: list[str]) -> bytes:
         return zstandard.ZstdCompressionDict(b"".join(pieces)[-DICTIONARY_BYTES:] or b"-" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT).as_bytes()
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and offset by Newton's method, with a little ridge so that separable classes have a solution."""
-    spread = float(np.std(x)) or 1.0
-    a = np.stack([x / spread, np.ones(len(x))], axis=1)
-    w = np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> np.ndarray:
+    """A weight for each column of x and an offset, by Newton's method, with a little ridge so that separable classes have a solution."""
+    spread = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    a = np.column_stack([x / spread, np.ones(len(x))])
+    w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2), a.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / spread), float(w[1])
+    return np.append(w[:-1] / spread, w[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> QualityModel:
@@ -103,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     prior = present.agg(F.avg("y").alias("p"), F.count("*").alias("n")).first()
     if not prior["n"] or prior["p"] in (0.0, 1.0):
         p = 0.5 if not prior["n"] else prior["p"]
-        return QualityModel(b"", b"", 0.0, 0.0 if p == 0.5 else math.copysign(700.0, p - 0.5))
+        return QualityModel(b"", b"", 0.0, 0.0, 0.0 if p == 0.5 else math.copysign(700.0, p - 0.5))
     chosen = present.filter("y = 0").orderBy("at", "doc_id").limit(2 * sample).unionAll(present.filter("y = 1").orderBy("at", "doc_id").limit(2 * sample))
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     picked = written(picked.dropDuplicates(["doc_id"]), "quality-sample")
@@ -111,18 +115,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = picked.select("doc_id", "y", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "at").filter(F.col("at") % 2 == 0).orderBy("at", "doc_id").toPandas()
     good, bad = (_dictionary(rows.text[rows.y == y].tolist()) for y in (1, 0))
 
-    @F.pandas_udf("double")
-    def apart(texts: pd.Series) -> pd.Series:
-        return pd.Series([difference(t, good, bad) for t in texts])
+    @F.pandas_udf("array<double>")
+    def weighed(texts: pd.Series) -> pd.Series:
+        return pd.Series([list(evidence(t, good, bad)) for t in texts])
 
-    curve = picked.filter(F.col("at") % 2 != 0).select("y", apart("text").alias("d")).toPandas()
+    curve = picked.filter(F.col("at") % 2 != 0).select("y", weighed("text").alias("x")).toPandas()
     if curve.y.nunique() < 2:
-        curve = pd.DataFrame({"y": rows.y, "d": [difference(t, good, bad) for t in rows.text]})
-    slope, offset = logistic(curve.d.to_numpy(), curve.y.to_numpy().astype(float))
+        curve = pd.DataFrame({"y": rows.y, "x": [evidence(t, good, bad) for t in rows.text]})
+    slope, level, offset = map(float, logistic(np.array(curve.x.tolist()), curve.y.to_numpy().astype(float)))
     # the sample takes as many rows of either class: back to the share that the labels have
     share = curve.y.mean()
     offset += math.log(prior["p"] / (1 - prior["p"])) - (math.log(share / (1 - share)) if 0 < share < 1 else 0.0)
-    return QualityModel(good, bad, slope, offset)
+    return QualityModel(good, bad, slope, level, offset)
 
 
 def score_documents(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
