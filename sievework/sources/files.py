@@ -65,23 +65,89 @@ def key_order(sample: str, columns: list[str]) -> list[str]:
 
 
 def read_workbook(spark: SparkSession, path: str, sheet: str | int = 0, header: bool = True) -> DataFrame:
-    """A sheet of a workbook; needs an engine that pandas finds. Read on the driver: a sheet has a million rows at most."""
+    """A sheet of a workbook. XLSX is read with the standard library, other formats need an engine that pandas finds. Read on the driver: a sheet has a million rows at most.
+
+    Title rows above the first row that fills the sheet's width are skipped."""
+    data = head(spark, path, 1 << 30)
+    rows = xlsx_rows(data, sheet) if data[:4] == b"PK\x03\x04" and not path.lower().endswith((".ods", ".xlsb")) else _other_rows(data, sheet)
+    if not rows:
+        raise ValueError("the sheet is empty")
+    width = max(sum(v is not None for v in r) for r in rows)
+    start = next((i for i, r in enumerate(rows) if sum(v is not None for v in r) == width), 0) if header else 0
+    across = max(map(len, rows))
+    rows = [r + [None] * (across - len(r)) for r in rows]
+    names = readable_headers([None if v is None else str(v) for v in rows[start]]) if header else readable_headers([None] * across)
+    body = rows[start + header :]
+    kinds = [merged_kind([r[i] for r in body]) for i in range(len(names))]
+    make = {"bigint": int, "double": float, "boolean": bool, "timestamp_ntz": lambda v: v, "string": lambda v: str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)}
+    return spark.createDataFrame([tuple(None if v is None else make[k](v) for v, k in zip(r, kinds, strict=True)) for r in body], ", ".join(f"`{n.replace('`', '``')}` {k}" for n, k in zip(names, kinds, strict=True)))
+
+
+def _other_rows(data: bytes, sheet: str | int) -> list[list[Any]]:
     import io
 
     import pandas as pd
 
     try:
-        cells = pd.read_excel(io.BytesIO(head(spark, path, 1 << 30)), sheet_name=sheet, header=None, dtype=object)
+        cells = pd.read_excel(io.BytesIO(data), sheet_name=sheet, header=None, dtype=object)
     except ImportError as e:
-        raise RuntimeError("reading workbooks needs an optional package") from e
-    rows = [[None if v is None or v != v else v for v in r] for r in cells.itertuples(index=False)]
-    width = max((sum(v is not None for v in r) for r in rows), default=0)
-    start = next((i for i, r in enumerate(rows) if sum(v is not None for v in r) == width), 0) if header else 0
-    names = readable_headers([None if v is None else str(v) for v in rows[start]]) if header else readable_headers([None] * len(rows[0]))
-    data = rows[start + header :]
-    kinds = [merged_kind([r[i] for r in data]) for i in range(len(names))]
-    make = {"bigint": int, "double": float, "boolean": bool, "timestamp_ntz": lambda v: v, "string": lambda v: str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)}
-    return spark.createDataFrame([tuple(None if v is None else make[k](v) for v, k in zip(r, kinds, strict=True)) for r in data], ", ".join(f"`{n.replace('`', '``')}` {k}" for n, k in zip(names, kinds, strict=True)))
+        raise RuntimeError("reading this kind of workbook needs an optional package") from e
+    return [[None if v is None or v != v else v for v in r] for r in cells.itertuples(index=False)]
+
+
+def xlsx_rows(data: bytes, sheet: str | int = 0) -> list[list[Any]]:
+    """The cells of a sheet, by name or place: text, numbers, booleans, and dates where a cell's format says so."""
+    import datetime
+    import io
+    import re
+    import zipfile
+    from xml.etree import ElementTree as X
+
+    z = zipfile.ZipFile(io.BytesIO(data))
+    parts = {n.lower(): n for n in z.namelist()}
+    read = lambda n: X.fromstring(z.read(parts[n.lower()]))
+    tag = lambda e: e.tag.rpartition("}")[2]
+    sheets = [e for e in read("xl/workbook.xml").iter() if tag(e) == "sheet"]
+    chosen = sheets[sheet] if isinstance(sheet, int) else next((e for e in sheets if e.get("name") == sheet), None)
+    if chosen is None:
+        raise ValueError(f"no sheet {sheet!r}")
+    rid = next(v for k, v in chosen.attrib.items() if k.endswith("}id"))
+    target = next(e.get("Target") for e in read("xl/_rels/workbook.xml.rels") if e.get("Id") == rid)
+    shared = ["".join(t.text or "" for t in s.iter() if tag(t) == "t") for s in read("xl/sharedStrings.xml") if tag(s) == "si"] if "xl/sharedstrings.xml" in parts else []
+    dated: set[int] = set()
+    if "xl/styles.xml" in parts:
+        styles = read("xl/styles.xml")
+        own = {int(e.get("numFmtId")): e.get("formatCode", "") for e in styles.iter() if tag(e) == "numFmt"}
+        cells = next((e for e in styles if tag(e) == "cellXfs"), [])
+        for i, e in enumerate(cells):
+            n = int(e.get("numFmtId", 0))
+            if 14 <= n <= 22 or 45 <= n <= 47 or re.search("[dmyhs]", re.sub(r'"[^"]*"|\\[[^\]]*\]', "", own.get(n, "")), re.I):
+                dated.add(i)
+    out: list[list[Any]] = []
+    for row in (e for e in read("xl/" + target.removeprefix("/xl/")).iter() if tag(e) == "row"):
+        at = int(row.get("r", len(out) + 1))
+        out += [[] for _ in range(at - len(out))]
+        for c in (e for e in row if tag(e) == "c"):
+            letters = re.match("[A-Z]+", c.get("r", ""))
+            place = len(out[at - 1]) if not letters else sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(letters[0]))) - 1
+            kind, v = c.get("t", "n"), next((e.text for e in c if tag(e) == "v"), None)
+            if kind == "inlineStr":
+                value = "".join(t.text or "" for t in c.iter() if tag(t) == "t")
+            elif v is None:
+                value = None
+            elif kind == "s":
+                value = shared[int(v)]
+            elif kind == "b":
+                value = v == "1"
+            elif kind in ("str", "e", "d"):
+                value = v
+            elif int(c.get("s", -1)) in dated:
+                value = datetime.datetime(1899, 12, 30) + datetime.timedelta(seconds=round(float(v) * 86400))
+            else:
+                value = float(v)
+            out[at - 1] += [None] * (place + 1 - len(out[at - 1]))
+            out[at - 1][place] = value
+    return [r for r in out if any(v is not None for v in r)]
 
 
 def merged_kind(values: list[Any]) -> str:

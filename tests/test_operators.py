@@ -212,6 +212,8 @@ def test_sinks(spark, tmp_path):
     sinks.write_sqlite(df, at("a.db"))
     assert sqlite3.connect(at("a.db")).execute("SELECT id, t, n, b FROM dataset").fetchall() == [(1, "=x", 1.5, 1), (2, "it's", None, 0)]
     sinks.write_workbook(df, at("a.xlsx"))
+    back = files.read_workbook(spark, at("a.xlsx"))
+    assert dict(back.dtypes) == {"id": "bigint", "t": "string", "n": "double", "b": "boolean"} and rows(back) == [(1, "=x", 1.5, True), (2, "it's", None, False)]
     assert "<v>1.5</v>" in zipfile.ZipFile(at("a.xlsx")).read("xl/worksheets/sheet1.xml").decode()
     sinks.write_bundle(df, at("a.zip"), recipe="{}", rules=[{"kind": "not_null", "column": "id"}])
     assert set(zipfile.ZipFile(at("a.zip")).namelist()) == {"dataset.csv", "dictionary.json", "quality.json", "recipe.json", "manifest.json"}
