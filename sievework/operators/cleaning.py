@@ -171,10 +171,10 @@ def _shares(df: DataFrame, tests: dict[str, list[Column]]) -> dict[str, tuple[in
 
 
 def normalize_booleans(df: DataFrame) -> DataFrame:
-    """true and false in text columns with at least three values of which 90 % are such words."""
+    """true and false in text columns with at least three values that aren't blank, of which 90 % are such words."""
     names = text_columns(df)
-    found = _shares(df, {c: [T.boolean_token(quoted(c)).isNotNull()] for c in names})
-    chosen = [c for c, (n, (k,)) in found.items() if n >= 3 and k * 10 >= 9 * n]
+    found = _shares(df, {c: [T.boolean_token(quoted(c)).isNotNull(), ~T.blank(quoted(c))] for c in names})
+    chosen = [c for c, (_, (k, n)) in found.items() if n >= 3 and k * 10 >= 9 * n]
     return audited(df, "booleans", {c: F.coalesce(T.boolean_token(quoted(c)), quoted(c)) for c in chosen})
 
 
@@ -191,42 +191,46 @@ def nullify_invalid(df: DataFrame) -> DataFrame:
 
 
 def cast_numbers(df: DataFrame) -> DataFrame:
-    """Text columns of which over 90 % of the values are whole numbers, none with a decimal sign, become long; or over 90 % numbers, double. Not identifiers, nor
-    codes with leading zeros, nor where a whole number is beyond 2**53. What isn't a number becomes null."""
+    """Text columns of which over 90 % of the values are whole numbers and none has a sign of decimals (a point, an e), become long; else those of which over 90 % are numbers, double. Not identifiers, nor
+    codes with leading zeros; whole numbers beyond 2**53 in a column of doubles are an error. What isn't a number becomes null."""
     names = [c for c in text_columns(df) if privacy_signal(c) != "identifier"]
     tests = {}
     for c in names:
         x = quoted(c)
-        whole = P.strict_long(x).isNotNull()
-        tests[c] = [whole, P.strict_double(x).isNotNull(), P.leading_zero_code(x), P.strict_double(x).isNotNull() & P.exact_number(x).isNull()]
+        d = P.strict_double(x)
+        tests[c] = [P.strict_long(x).isNotNull(), d.isNotNull(), P.leading_zero_code(x), F.rlike(x, F.lit("[.eE]")), (d == F.floor(d)) & (F.abs(d) > P.EXACT)]
     new = {}
-    for c, (n, (longs, doubles, codes, inexact)) in _shares(df, tests).items():
-        if not n or codes or doubles * 10 <= 9 * n:
+    for c, (n, (longs, doubles, codes, signs, inexact)) in _shares(df, tests).items():
+        if not n or codes:
             continue
-        if longs == doubles:
+        if not signs and longs * 10 > 9 * n:
             new[c] = P.strict_long(quoted(c))
-        elif not inexact:
+        elif doubles * 10 > 9 * n:
+            if inexact:
+                raise ValueError(f"column {c!r} holds numbers that would lose digits")
             new[c] = P.strict_double(quoted(c))
     return df.withColumns(new)
 
 
 def cast_dates(df: DataFrame) -> DataFrame:
-    """Text columns become timestamps if one way of writing dates reads over 80 % of their first 50 values and loses at most 1 % of all. Years 1900 to 2100."""
+    """Text columns become timestamps by the first way of writing dates that reads over 80 % of their first 50 values, all in the years 1900 to 2100, if over all rows it leaves at most one row in a hundred without its value and reads no other years."""
     from .profile import DATE_FORMATS, read_date
 
     df = with_rid(df)
-    names = text_columns(df)
-    new = {}
-    for c in names:
+    chosen = {}
+    for c in text_columns(df):
         # the first values: a bounded sample, as the rule says
         first = df.filter(quoted(c).isNotNull()).orderBy(RID).limit(50).select(quoted(c).alias("v"))
-        row = first.agg(F.count("v").alias("n"), *[F.count(read_date(F.col("v"), f)).alias(f"f{i}") for i, f in enumerate(DATE_FORMATS)]).first()
-        best = max(range(len(DATE_FORMATS)), key=lambda i: (row[f"f{i}"], -i))
-        if not row["n"] or row[f"f{best}"] * 10 <= 8 * row["n"]:
-            continue
-        new[c] = read_date(quoted(c), DATE_FORMATS[best])
-    found = _shares(df, {c: [v.isNotNull()] for c, v in new.items()})
-    return df.withColumns({c: v for c, v in new.items() if (found[c][0] - found[c][1][0]) * 100 <= found[c][0]})
+        counts = [x for i, f in enumerate(DATE_FORMATS) for x in (F.count(read_date(F.col("v"), f)).alias(f"f{i}"), F.count(read_date(F.col("v"), f, False)).alias(f"r{i}"))]
+        row = first.agg(F.count("v").alias("n"), *counts).first()
+        fits = [f for i, f in enumerate(DATE_FORMATS) if row[f"f{i}"] * 10 > 8 * row["n"] and row[f"f{i}"] == row[f"r{i}"]]
+        if fits:
+            chosen[c] = fits[0]
+    if not chosen:
+        return df
+    rows = df.count()
+    found = _shares(df, {c: [read_date(quoted(c), f).isNotNull(), read_date(quoted(c), f, False).isNotNull()] for c, f in chosen.items()})
+    return df.withColumns({c: read_date(quoted(c), f) for c, f in chosen.items() if (found[c][0] - found[c][1][0]) * 100 <= rows and found[c][1][0] == found[c][1][1]})
 
 
 @dataclass

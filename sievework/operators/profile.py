@@ -25,8 +25,8 @@ REST = "Resto"
 _SHAPES = {"yyyy": "[0-9]{4}", "MMMM": "[A-Za-z]{3,9}", "MMM": "[A-Za-z]{3}", "MM": "[0-9]{1,2}", "dd": "[0-9]{1,2}", "HH": "[0-9]{2}", "mm": "[0-9]{2}", "ss": r"[0-9]{2}(?:\.[0-9]{1,9})?"}
 
 
-def read_date(c: Column, pattern: str) -> Column:
-    """A timestamp without zone, of years 1900 to 2100, or null."""
+def read_date(c: Column, pattern: str, plausible: bool = True) -> Column:
+    """A timestamp without zone, or null; plausible: of years 1900 to 2100 only."""
     import re
 
     t = T.trim(c)
@@ -39,7 +39,7 @@ def read_date(c: Column, pattern: str) -> Column:
         loose = pattern if pattern == "yyyyMMdd" else pattern.replace("dd", "d").replace("MMMM", "LLLL").replace("MMM", "LLL").replace("MM", "M").replace("LLLL", "MMMM").replace("LLL", "MMM")
         loose = loose.replace("ss", "ss[.SSSSSSSSS][.SSSSSS][.SSS]")
         value = F.when(F.rlike(t, F.lit(shape)), F.try_to_timestamp(F.initcap(t) if "MMM" in pattern else t, F.lit(loose)).cast("timestamp_ntz"))
-    return F.when(F.year(value).between(MIN_YEAR, MAX_YEAR), value)
+    return F.when(F.year(value).between(MIN_YEAR, MAX_YEAR), value) if plausible else value
 
 
 #: English month names and the numbers that ISO dates have for them.
