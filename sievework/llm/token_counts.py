@@ -52,7 +52,7 @@ def _encoded(path: str, tokenizer: str):
     def run(batches):
         count = _counter(path)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 18):
                 n = count(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array([tokenizer] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "tokenizer", "n_tokens"])
 
