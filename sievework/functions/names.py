@@ -8,16 +8,22 @@ import unicodedata
 
 def plain(text: str) -> str:
     """Squeezed, lower case, without accents."""
-    text = "".join(c for c in unicodedata.normalize("NFD", " ".join(text.split()).lower()) if not unicodedata.combining(c))
-    return unicodedata.normalize("NFC", text)
+    return unaccented(" ".join(text.split()).lower())
+
+
+def unaccented(text: str) -> str:
+    """Without accents, if all characters are of ranges in which they are marks on letters."""
+    if not all(ord(c) <= 0x52F or 0x1E00 <= ord(c) <= 0x2BFF for c in text):
+        return text
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c)[0] != "M"))
 
 
 def normalized_names(names: list[str]) -> list[str]:
-    """Lower case, without accents; spaces and dashes are underscores, other signs go; a leading digit gets col_, nothing at all is unnamed; repeats are numbered from _2."""
+    """Lower case, without accents; spaces and dashes are an underscore, none at the end, other signs go; a leading digit gets col_, nothing at all is unnamed; repeats are numbered from _2."""
     taken: set[str] = set()
     out = []
     for name in names:
-        base = re.sub(r"[^\w]", "", re.sub(r"[\s-]", "_", plain(name)))
+        base = re.sub(r"[\s-]+", "_", re.sub(r"[\s-]+$", "", re.sub(r"[^\w\s-]", "", unaccented(name).lower())))
         base = f"col_{base}" if base[:1].isdigit() else base or "unnamed"
         found, k = base, 2
         while found in taken:

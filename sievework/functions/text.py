@@ -32,12 +32,12 @@ def _unaccented() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _unaccented()
-#: Texts in which accents are marks on letters and may go; in other scripts they are part of the letter.
-ACCENT_SCRIPTS = r"^[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}\p{IsCommon}\p{IsInherited}]*$"
+#: Texts of Latin, Greek, Cyrillic and common signs only: their accents are marks on letters and may go; in other scripts they are part of the letter.
+ACCENT_SCRIPTS = r"^[\x{0}-\x{52F}\x{1E00}-\x{2BFF}]*$"
 
 
 def strip_accents(c: Column) -> Column:
-    """Only where all characters are Latin, Greek, Cyrillic or common to scripts."""
+    """Only where all characters are of those ranges."""
     return F.when(F.rlike(c, F.lit(ACCENT_SCRIPTS)), F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{M}", "")).otherwise(c)
 
 

@@ -104,7 +104,7 @@ def test_strict_dates(spark):
 
 
 def test_names():
-    assert names.normalized_names(["Región-Nº 1", "región nº 1", "1a", "%", ""]) == ["region_nº_1", "region_nº_1_2", "col_1a", "unnamed", "unnamed_2"]
+    assert names.normalized_names(["Región-Nº 1", "región - nº 1 ", "1a", "%", "", "が -%- x"]) == ["region_nº_1", "region_nº_1_2", "col_1a", "unnamed", "unnamed_2", "が_x"]
     assert names.readable_headers(["a", "", "a", None]) == ["a", "column_2", "a_2", "column_4"]
     signals = {"clientEmail": "email", "hotel": None, "tel": "phone", "file_name": None, "full name": "name", "user_id": "identifier", "Dirección": "address", "idea": None, "product name": None, "Apellidos": "name"}
     assert {k: names.privacy_signal(k) for k in signals} == signals
