@@ -42,7 +42,7 @@ class Contract:
 def _number(df: DataFrame, name: str) -> Column:
     """A finite number or null."""
     c, kind = quoted(name), kind_of(df, name)
-    n = P.strict_double(c) if kind == "string" else c.cast("double") if is_number(kind) else F.lit(None).cast("double")
+    n = P.strict_double(c) if kind == "string" else c.cast("int").cast("double") if kind == "boolean" else c.cast("double") if is_number(kind) else F.lit(None).cast("double")
     return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
 
 
@@ -130,16 +130,27 @@ def _plan(df: DataFrame, i: int, rule: dict) -> tuple[list[Column], Any]:
         made = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "mean": F.avg}[how]
         aggs = [F.count_if(unread).alias(f"b{i}"), *[made(v).alias(f"a{i}_{j}") for j, v in enumerate(n)]]
 
+        aggs += [F.count(v).alias(f"k{i}_{j}") for j, v in enumerate(n)]
+
         def judged(r):
-            seen = r[f"a{i}_0"]
+            seen = [r[f"a{i}_{j}"] if r[f"k{i}_{j}"] or how != "sum" else 0.0 for j in range(len(n))]
             if kind == "distribution_drift":
-                off = seen is None or abs(seen - float(rule["baseline"])) > float(rule["threshold"])
-                return r["rows"], r[f"b{i}"] + int(off)
-            expected = r[f"a{i}_1"] if len(n) > 1 else float(rule["expected"])
-            if seen is None or expected is None:
-                return r["rows"], r[f"b{i}"] + int(seen is not expected)
-            slack = max(float(rule.get("absoluteTolerance") or 0), float(rule.get("relativeTolerance") or 0) * abs(expected), 1e-9 * max(1.0, abs(expected)))
-            return r["rows"], r[f"b{i}"] + int(abs(seen - expected) > slack)
+                if not r[f"k{i}_0"]:
+                    return r["rows"], max(1, r[f"b{i}"])
+                base = rule.get("baseline", rule.get("referenceValues"))
+                base = sum(map(float, base)) / len(base) if isinstance(base, list) else float(base)
+                limit = rule.get("toleranceAbs", rule.get("threshold")) or 0.0
+                return r["rows"], r[f"b{i}"] + int(abs(seen[0] - base) > float(limit))
+            if len(n) > 1:
+                expected, around = seen[1], max(abs(seen[0]), abs(seen[1]))
+            else:
+                given = rule.get("expected")
+                if given is None:  # references: their sum for sums, else the first
+                    given = sum(map(float, rule["referenceValues"])) if how == "sum" else rule["referenceValues"][0]
+                expected = float(given)
+                around = abs(expected)
+            slack = max(float(rule.get("toleranceAbs") or 0), float(rule.get("toleranceRel") or 0) * around, 1e-9 * max(1.0, around))
+            return r["rows"], r[f"b{i}"] + int(seen[0] is None or abs(seen[0] - expected) > slack)
 
         return aggs, judged
     if kind == "conditional":
@@ -156,9 +167,20 @@ def _plan(df: DataFrame, i: int, rule: dict) -> tuple[list[Column], Any]:
 
 
 def _holds(df: DataFrame, when: dict) -> Column:
-    from .recipe import predicate
-
-    test, _ = predicate(quoted(when["column"]), kind_of(df, when["column"]), when["operator"], when.get("value"))
+    """Whether a condition applies: texts compare as texts, booleans and numbers by value; null and other types never do."""
+    c, kind, value = quoted(when["column"]), kind_of(df, when["column"]), str(when["value"])
+    compare = {"eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "gt": lambda a, b: a > b, "gte": lambda a, b: a >= b}[when["operator"]]
+    if kind == "string":
+        test = compare(c, F.lit(value))
+    elif kind == "boolean" and value in ("true", "false"):
+        test = compare(c, F.lit(value == "true"))
+    elif is_number(kind):
+        try:
+            test = compare(c.cast("double"), F.lit(float(value)))
+        except ValueError:
+            test = F.lit(False)
+    else:
+        test = F.lit(False)
     return F.coalesce(test, F.lit(False))
 
 
@@ -169,20 +191,21 @@ def _types(dtype: str) -> tuple[str, ...]:
 
 
 def monotonic_breaks(df: DataFrame, column: str, increasing: bool = True, order: list[str] | str | None = None, parts: int | None = None) -> DataFrame:
-    """One row, n: non-null values smaller (larger) than the one before them in input order; equal ones are in order; text that isn't a number is a break if the column has numbers.
+    """One row, n: non-null values smaller (larger) than the one before them in input order; equal ones are in order, texts compare as texts, and a NaN is a break on both its sides.
 
     Input order over all rows in one window would be one task. The rows are dealt by ranges of _rid, each range compares within itself, and only
     the first and last value of each range are compared with the range before: as many rows as ranges."""
     df = with_rid(df, order)
-    value = _number(df, column) if is_number(kind_of(df, column)) or kind_of(df, column) == "string" else quoted(column)
-    rows = df.filter(quoted(column).isNotNull()).select(RID, value.alias("v"))
+    rows = df.filter(quoted(column).isNotNull()).select(RID, quoted(column).alias("v"))
+    real = kind_of(df, column) in ("float", "double")
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, RID).withColumn("_part", F.spark_partition_id())
     w = Window.partitionBy("_part").orderBy(RID)
-    broken = lambda a, b: (b < a) if increasing else (b > a)
+    wrong = lambda a, b: (b < a) if increasing else (b > a)
+    broken = lambda a, b: (wrong(a, b) | ((F.isnan(a) | F.isnan(b)) & a.isNotNull())) if real else wrong(a, b)
     inside = dealt.select("_part", RID, "v", F.lag("v").over(w).alias("before"))
     each = inside.groupBy("_part").agg(
-        F.count_if(F.coalesce(broken(F.col("before"), F.col("v")), F.lit(False)) | F.col("v").isNull()).alias("n"), F.min(RID).alias("at"), F.min_by("v", RID).alias("first"), F.max_by("v", RID).alias("last")
+        F.count_if(F.coalesce(broken(F.col("before"), F.col("v")), F.lit(False))).alias("n"), F.min(RID).alias("at"), F.min_by("v", RID).alias("first"), F.max_by("v", RID).alias("last")
     )
     across = each.withColumn("before", F.lag("last").over(Window.orderBy("at")))
     return across.agg(F.coalesce(F.sum(F.col("n") + F.coalesce(broken(F.col("before"), F.col("first")), F.lit(False)).cast("long")), F.lit(0)).alias("n"))

@@ -236,7 +236,7 @@ query2("quality_referential_integrity", "orders", "customer", "SELECT 'referenti
 )
 rule("monotonic", "orders", {"kind": "monotonic", "column": "o_totalprice", "direction": "increasing"}, "0", order="o_orderkey")
 ORACLE["quality_monotonic"] = "SELECT 'monotonic' AS kind, count(*) AS checked, count(*) FILTER (o_totalprice < b) AS invalid FROM (SELECT o_totalprice, lag(o_totalprice) OVER (ORDER BY o_orderkey) AS b FROM orders)"
-rule("aggregate_check", "lineitem", {"kind": "aggregate_check", "column": "l_quantity", "aggregate": "sum", "expected": 0, "absoluteTolerance": 1}, "1")
+rule("aggregate_check", "lineitem", {"kind": "aggregate_check", "column": "l_quantity", "aggregate": "sum", "expected": 0, "toleranceAbs": 1}, "1")
 rule("aggregate_reconciliation", "lineitem", {"kind": "aggregate_reconciliation", "column": "l_quantity", "other": "l_quantity"}, "0")
 rule("distribution_drift", "lineitem", {"kind": "distribution_drift", "column": "l_discount", "baseline": 0.05, "threshold": 0.5}, "0")
 rule("date_range", "orders", {"kind": "date_range", "column": "o_orderdate", "min": "1993-01-01", "max": "1997-06-30"}, "count(*) FILTER (NOT o_orderdate BETWEEN TIMESTAMP '1993-01-01' AND TIMESTAMP '1997-06-30')")

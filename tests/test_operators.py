@@ -153,6 +153,21 @@ def test_contract(spark):
     assert quality.Contract.from_json(contract.to_json()).rules == contract.rules
 
 
+def test_rules_by_hand(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(0, 1.0, "b", True), (1, nan, "a", False), (2, 2.0, "9", None), (3, None, "10", True)], "i long, n double, t string, f boolean")
+    assert quality.monotonic_breaks(df, "n", order="i").first()["n"] == 2
+    assert quality.monotonic_breaks(df, "t", order="i").first()["n"] == 3 and quality.monotonic_breaks(df, "t", False, order="i").first()["n"] == 0
+    one = lambda **r: quality.evaluate(df, [r]).first()["invalid"]
+    assert one(kind="aggregate_check", column="f", aggregate="sum", expected=2) == 0
+    assert one(kind="aggregate_check", column="n", aggregate="count", expected=2) == 1  # NaN can't be read
+    assert one(kind="aggregate_check", column="t", aggregate="sum", referenceValues=["9", "10"]) == 2
+    assert one(kind="aggregate_reconciliation", column="f", other="f") == 0
+    assert one(kind="distribution_drift", column="f", baseline=[1, 0, 1], threshold=0.01) == 0
+    assert one(kind="conditional", when={"column": "t", "operator": "lt", "value": "9"}, then={"kind": "not_null", "column": "n"}) == 1
+    assert one(kind="conditional", when={"column": "f", "operator": "eq", "value": "true"}, then={"kind": "numeric_range", "column": "n", "min": 0}) == 1
+
+
 def test_dialect(spark):
     df = people(spark)
     assert rows(dialect.run("""SELECT "name" AS n, id FROM dataset WHERE amount > 8 OFFSET 0""", df)) == [("Ana", 1), ("ana ", 3)]  # x > 8 as text
