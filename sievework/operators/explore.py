@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.names import privacy_signal
 from ..functions.order import is_number, is_time, kind_of, quoted
+from ..functions.quantiles import linear
 from .profile import column_profile, semantic_number
 
 MAX_FILTERS, BARS, MORE_BARS, MAX_BAR_CHARTS, BINS = 32, 12, 60, 6, 20
@@ -70,9 +71,9 @@ def filtered(df: DataFrame, filters: list[Filter], but: str | None = None) -> Da
 def kpis(df: DataFrame, filters: list[Filter], median_of: str | None = None, mean_of: str | None = None) -> DataFrame:
     """One row: rows, median (of the first measure), mean (of the second); all filters apply."""
     at = lambda c: measure(quoted(c), kind_of(df, c))
-    return filtered(df, filters).agg(
-        F.count(F.lit(1)).alias("rows"), (F.median(at(median_of)) if median_of else F.lit(None).cast("double")).alias("median"), (F.avg(at(mean_of)) if mean_of else F.lit(None).cast("double")).alias("mean")
-    )
+    chosen = filtered(df, filters)
+    middle = linear(chosen, {"m": at(median_of)}, [0.5])["m"][0] if median_of else None
+    return chosen.agg(F.count(F.lit(1)).alias("rows"), F.lit(middle).cast("double").alias("median"), (F.avg(at(mean_of)) if mean_of else F.lit(None).cast("double")).alias("mean"))
 
 
 def bars(df: DataFrame, filters: list[Filter], column: str, most: int = BARS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.names import privacy_signal
 from ..functions.order import RID, data_columns, is_number, is_whole, kind_of, quoted
+from ..functions.quantiles import linear, lower_median
 
 FENCE, LEAST_VALUES = 1.5, 4
 
@@ -19,39 +20,24 @@ def finite(c: Column) -> Column:
 
 
 def fences(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float, int]]:
-    """column -> (low, high, median, values), from one pass over all columns; exact linear percentiles."""
-    aggs = [F.percentile(finite(quoted(c)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(columns)]
-    aggs += [F.count(finite(quoted(c))).alias(f"n{i}") for i, c in enumerate(columns)]
-    row = df.agg(*aggs).first() if columns else {}
+    """column -> (low, high, median, values); exact linear percentiles."""
+    if not columns:
+        return {}
+    found = linear(df, {c: finite(quoted(c)) for c in columns}, [0.25, 0.5, 0.75])
+    counts = df.agg(*[F.count(finite(quoted(c))).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     out = {}
     for i, c in enumerate(columns):
-        if row[f"n{i}"]:
-            q1, median, q3 = row[f"q{i}"]
-            out[c] = (q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1), median, row[f"n{i}"])
+        if counts[f"n{i}"]:
+            q1, median, q3 = found[c]
+            out[c] = (q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1), median, counts[f"n{i}"])
         else:
             out[c] = (float("-inf"), float("inf"), float("nan"), 0)
     return out
 
 
 def exact_lower_median(df: DataFrame, column: str) -> int | None:
-    """The lower median of whole numbers, exact beyond 2**53 too: from the counts of the distinct values, in order."""
-    counts = df.filter(quoted(column).isNotNull()).groupBy(quoted(column).alias("v")).agg(F.count("*").alias("n"))
-    # the double median tells where to look; only where doubles are too coarse are neighbours ranked
-    total = counts.agg(F.sum("n").alias("n"), F.max(F.abs(F.col("v").cast("decimal(20,0)"))).alias("m")).first()
-    if not total["n"]:
-        return None
-    rank = (total["n"] + 1) // 2
-    if total["m"] <= 1 << 53:
-        return int(df.agg(F.expr(f"percentile_disc(0.5) within group (order by `{column.replace('`', '``')}`)").alias("m")).first()["m"])
-    near = df.agg(F.expr(f"percentile_disc(0.5) within group (order by `{column.replace('`', '``')}`)").alias("m")).first()["m"]
-    span = 1 << 12
-    low, high = int(near) - span, int(near) + span
-    below = counts.filter(F.col("v").cast("decimal(20,0)") < low).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    for r in counts.filter(F.col("v").cast("decimal(20,0)").between(low, high)).orderBy("v").toLocalIterator():
-        below += r["n"]
-        if below >= rank:
-            return r["v"]
-    return None
+    """The lower median of whole numbers, exact beyond 2**53 too."""
+    return lower_median(df, quoted(column).cast("bigint"))
 
 
 def treat_recipe(df: DataFrame, treatments: list[tuple[str, str]]) -> DataFrame:
@@ -134,7 +120,7 @@ def impute_missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         elif is_whole(kind):
             value = exact_lower_median(df, c)
         elif is_number(kind):
-            value = df.select(finite(quoted(c)).alias("v")).agg(F.expr("percentile_disc(0.5) within group (order by v)").alias("m")).first()["m"]
+            value = lower_median(df, finite(quoted(c)))
         else:
             continue
         if value is not None:

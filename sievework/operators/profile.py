@@ -9,6 +9,7 @@ from ..functions import parse as P
 from ..functions import text as T
 from ..functions.names import privacy_signal
 from ..functions.order import data_columns, is_number, is_time, is_whole, kind_of, quoted
+from ..functions.quantiles import linear
 
 #: Ways of writing dates, in the order in which they are tried; Spark's patterns.
 DATE_FORMATS = [
@@ -141,16 +142,22 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     return near.agg(zero("n").alias("rows"), (zero("n") - zero("d")).alias("duplicates"), (zero("d") - F.count("*")).alias("near_duplicates"))
 
 
+def _short(c: Column) -> Column:
+    """A stand-in for a text in distinct counts: long ones by their SHA-256, so that they aren't shuffled."""
+    return F.when(F.octet_length(c) <= T.SHORT_BYTES, F.concat(F.lit("="), c)).otherwise(F.sha2(c, 256))
+
+
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column: column_name, data_type, row_count, null_count, unique_count, min_text, max_text, empty_count, min_length, max_length, avg_length, sentinel_count,
     mojibake_count, untrimmed_count, comma_decimal_count, non_finite_count, mean, std, q1, median, q3, outlier_count, suggested_type, privacy_signal.
 
-    Three aggregations over the data at most (of all columns, of the texts' signals, of outliers, which need the quartiles), whatever the number of columns."""
+    A few aggregations over the data (of all columns, of quartiles, of the texts' signals, of outliers, which need the quartiles), whatever the number of columns."""
     names = columns or data_columns(df)
+    numbers: dict[str, Column] = {}
     aggs, text_aggs, texts, found = [F.count(F.lit(1)).alias("n")], [], [], {}
     for i, c in enumerate(names):
         x, kind = quoted(c), kind_of(df, c)
-        aggs += [F.count(x).alias(f"count{i}"), F.count_distinct(x).alias(f"unique{i}")]
+        aggs += [F.count(x).alias(f"count{i}"), F.count_distinct(_short(x) if kind == "string" else x).alias(f"unique{i}")]
         if not kind.startswith(("array", "struct", "map")):
             aggs += [F.min(x).cast("string").alias(f"min{i}"), F.max(x).cast("string").alias(f"max{i}")]
         if kind == "string":
@@ -165,8 +172,11 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         elif is_number(kind):
             d = x.cast("double")
             f = F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d)
-            aggs += [F.count_if(d.isNotNull() & f.isNull()).alias(f"inf{i}"), F.avg(f).alias(f"mean{i}"), F.stddev_samp(f).alias(f"std{i}"), F.count(f).alias(f"fin{i}"), F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}")]
+            aggs += [F.count_if(d.isNotNull() & f.isNull()).alias(f"inf{i}"), F.avg(f).alias(f"mean{i}"), F.stddev_samp(f).alias(f"std{i}"), F.count(f).alias(f"fin{i}")]
+            numbers[c] = f
     row = df.agg(*aggs).first().asDict()
+    quartiles = linear(df, numbers, [0.25, 0.5, 0.75])
+    row |= {f"q{i}": quartiles[c] for i, c in enumerate(names) if c in quartiles and quartiles[c][0] is not None}
     if texts:
         row |= _view(df, texts).agg(*text_aggs).first().asDict()
     fences = []
