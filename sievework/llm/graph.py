@@ -35,4 +35,6 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         last, seen = seen, _print(now)
         if seen == last:
             break
+    else:
+        raise RuntimeError(f"no end after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
