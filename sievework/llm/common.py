@@ -62,6 +62,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         total += n
     if start < batch.num_rows:
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # Arrow keeps what earlier batches took; two workers share an executor's memory with the JVM
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
