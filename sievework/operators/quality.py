@@ -39,6 +39,21 @@ class Contract:
         return json.dumps({"format": "quality-contract", "version": 1, "rules": self.rules}, ensure_ascii=False)
 
 
+def _spelled(rule: dict) -> dict:
+    """A rule in the names used here: saved contracts name pairs of columns by a list, references by referenceValues, and bounds of dates by minDate and maxDate."""
+    rule = {k: v for k, v in rule.items() if v is not None}
+    kind, columns = rule.get("kind"), rule.get("columns")
+    if kind in ("column_compare", "aggregate_reconciliation") and columns:
+        rule |= {"column": columns[0]} | ({"other": columns[1]} if len(columns) > 1 else {})
+    if kind == "referential_integrity":
+        rule.setdefault("reference", rule.get("referenceValues"))
+        if columns and len(columns) == 1 and not isinstance(rule["reference"], DataFrame):
+            rule = {k: v for k, v in rule.items() if k != "columns"} | {"column": columns[0]}
+    if kind == "date_range":
+        rule |= {new: rule[old] for old, new in (("minDate", "min"), ("maxDate", "max")) if old in rule}
+    return rule
+
+
 def _number(df: DataFrame, name: str) -> Column:
     """A finite number or null."""
     c, kind = quoted(name), kind_of(df, name)
@@ -47,7 +62,9 @@ def _number(df: DataFrame, name: str) -> Column:
 
 
 def _time(c: Column, kind: str, order: str = "iso8601") -> Column:
-    return P.strict_datetime(c, order) if kind == "string" else c.cast("timestamp_ntz")
+    if kind == "string":
+        return P.strict_datetime(c, order)
+    return c.cast("timestamp_ntz") if is_time(kind) else F.lit(None).cast("timestamp_ntz")
 
 
 def row_test(df: DataFrame, rule: dict) -> Column:
@@ -97,7 +114,9 @@ def row_test(df: DataFrame, rule: dict) -> Column:
             some = F.lit(False)
             for n in rule["columns"]:
                 some = some | quoted(n).isNull()
-            return some | ~F.coalesce(row.isin([json.dumps(json.loads(v) if isinstance(v, str) else v, separators=(",", ":"), ensure_ascii=False) for v in values]), F.lit(False))
+            plain = lambda v: v if isinstance(v, str) else json.dumps(v)
+            known = [json.dumps([plain(x) for x in (json.loads(v) if isinstance(v, str) else v)], separators=(",", ":"), ensure_ascii=False) for v in values]
+            return some | ~F.coalesce(row.isin(known), F.lit(False))
         return ~F.coalesce(T.render_text(c, kind_of(df, name)).isin([str(v) for v in values]), F.lit(False))
     raise ContractError(f"{kind} isn't row-local")
 
@@ -110,8 +129,8 @@ def _plan(df: DataFrame, i: int, rule: dict) -> tuple[list[Column], Any]:
     if kind == "schema_contract":
         have, want = data_columns(df), rule["columns"]
         missing = sum(w not in have for w in want)
-        more = 0 if rule.get("allowAdditional") else sum(h not in want for h in have)
-        order = int(bool(rule.get("ordered")) and [h for h in have if h in want] != [w for w in want if w in have])
+        more = 0 if rule.get("allowAdditional", True) else sum(h not in want for h in have)
+        order = int(bool(rule.get("ordered")) and [h for h in have if h in want] != [w for w in want if w in have]) + int("requiredOrder" in rule and have != rule["requiredOrder"])
         return [], lambda r: (1, missing + more + order)
     if kind == "row_count":
         return [], lambda r: (1, int(not (rule.get("min") or 0) <= r["rows"] <= (rule.get("max") if rule.get("max") is not None else float("inf"))))
@@ -184,10 +203,17 @@ def _holds(df: DataFrame, when: dict) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+#: Names of types in contracts.
+TYPES = {
+    "string": ("string", "text"), "bigint": ("integer", "int", "int64"), "double": ("float", "decimal", "float64"), "boolean": ("boolean", "bool"), "date": ("date",), "timestamp": ("datetime", "timestamp"),
+}
+
+
 def _types(dtype: str) -> tuple[str, ...]:
-    return {
-        "string": ("string",), "integer": ("tinyint", "smallint", "int", "bigint"), "decimal": ("float", "double"), "boolean": ("boolean",), "date": ("date",), "datetime": ("timestamp", "timestamp_ntz"),
-    }[dtype]
+    found = next((k for k, names in TYPES.items() if dtype.strip().lower() in names), None)
+    if found is None:
+        raise ContractError(f"no type {dtype!r}")
+    return {"bigint": ("tinyint", "smallint", "int", "bigint"), "double": ("float", "double"), "timestamp": ("timestamp", "timestamp_ntz")}.get(found, (found,))
 
 
 def monotonic_breaks(df: DataFrame, column: str, increasing: bool = True, order: list[str] | str | None = None, parts: int | None = None) -> DataFrame:
@@ -222,7 +248,7 @@ def unreferenced(df: DataFrame, columns: list[str], reference: DataFrame, refere
 
 def evaluate(df: DataFrame, contract: Contract | list[dict], order: list[str] | str | None = None) -> DataFrame:
     """One row per rule: rule (its place), kind, column_name, checked, invalid, percent, passed."""
-    rules = contract.rules if isinstance(contract, Contract) else contract
+    rules = [_spelled(r) for r in (contract.rules if isinstance(contract, Contract) else contract)]
     if len(rules) > MAX_RULES:
         raise ContractError(f"at most {MAX_RULES} rules")
     aggs, judges, found = [F.count(F.lit(1)).alias("rows")], {}, {}

@@ -26,6 +26,39 @@ class RecipeError(ValueError):
     pass
 
 
+#: How saved recipes spell the parts of steps, and what they are called here.
+SPELLINGS = {
+    "dateParses": {"format": "order"},
+    "filters": {"operator": "op"},
+    "splitColumn": {"source": "column", "names": "targets"},
+    "mergeColumns": {"sources": "columns", "name": "target"},
+    "groupSummary": {"groupBy": "keys", "operation": "function"},
+    "textExtractions": {"source": "column", "name": "target"},
+}
+KINDS = {"first_token": "first", "last_token": "last"}
+
+
+def _spelled(step: str, value: Any) -> Any:
+    """A step in the names used here, from either spelling."""
+    if isinstance(value, list):
+        return [_spelled(step, v) for v in value]
+    if not isinstance(value, dict):
+        return value
+    if step == "findReplace" and "scope" in value:
+        value = {k: v for k, v in value.items() if k != "scope"} | ({"column": None} if value["scope"] == "all_text_columns" else {})
+    if step == "calculatedColumn" and "operation" in value:
+        operand = value.get("operand")
+        right = operand and {"column" if operand["kind"] == "column" else "literal": operand["value"]}
+        return {"name": value["name"], "op": value["operation"], "left": {"column": value["source"]}, "right": right}
+    if step == "casts" and "decimalSeparator" in value:
+        value = {k: v for k, v in value.items() if k != "decimalSeparator"} | {"commaDecimal": value["decimalSeparator"] == "comma"}
+    names = SPELLINGS.get(step, {})
+    out = {names.get(k, k): _spelled(step, v) if k == "aggregations" else v for k, v in value.items()}
+    if step == "textExtractions":
+        out["kind"] = KINDS.get(out["kind"], out["kind"])
+    return out
+
+
 @dataclass
 class Recipe:
     renames: list[dict] = field(default_factory=list)  # from, to
@@ -46,7 +79,7 @@ class Recipe:
     def from_dict(cls, data: dict[str, Any]) -> Recipe:
         if unknown := set(data) - set(cls.__dataclass_fields__):
             raise RecipeError(f"unknown steps: {sorted(unknown)}")
-        return cls(**{k: v for k, v in data.items() if v is not None})
+        return cls(**{k: _spelled(k, v) for k, v in data.items() if v is not None})
 
     @classmethod
     def from_json(cls, text: str) -> Recipe:

@@ -54,6 +54,25 @@ def test_recipe_errors(spark):
         Recipe.from_dict({"calculatedColumn": {"name": "x", "op": "divide", "left": {"column": "id"}, "right": {"literal": 0}}}).apply(df).collect()
 
 
+def test_saved_spellings(spark):
+    df = people(spark)
+    saved = {"version": 2, "name": "n", "savedAt": "2026-01-01T00:00:00Z", "recipe": {
+        "renames": [], "casts": [{"column": "amount", "target": "decimal", "decimalSeparator": "comma", "policy": "nullify"}], "dateParses": [], "filters": [{"column": "id", "operator": "lte", "value": "3"}],
+        "calculatedColumn": {"name": "c", "source": "score", "operation": "add", "operand": {"kind": "literal", "value": "1"}}, "findReplace": {"scope": "all_text_columns", "column": None, "find": "a", "replace": "o", "regex": False},
+        "keepColumns": None, "splitColumn": {"source": "name", "delimiter": "n", "names": ["l", "r"], "dropSource": False}, "mergeColumns": {"sources": ["l", "r"], "name": "m", "separator": "+", "dropSources": True},
+        "outlierTreatments": [], "groupSummary": None, "contactNormalizations": [], "textExtractions": [{"source": "m", "kind": "first_token", "name": "t", "delimiter": None}],
+    }}
+    assert rows(Recipe.from_json(json.dumps(saved)).apply(df).select("id", "amount", "c", "m", "t"), "id") == [(1, 10.0, 2.5, "A+o", "A+o"), (2, None, None, "Bo", "Bo"), (3, None, 3.5, "o+o ", "o+o")]
+    summary = {"groupSummary": {"groupBy": ["name"], "aggregations": [{"column": "id", "operation": "count"}]}}
+    assert Recipe.from_dict(summary).apply(df).columns == ["name", "id_count"]
+    one = lambda **r: quality.evaluate(df, [r]).first()["invalid"]
+    assert one(column="id", kind="column_compare", columns=["id", "score"], operator="gt") == 2
+    assert one(column="id", kind="referential_integrity", columns=["id"], referenceValues=["1", "2"]) == 2
+    assert one(column="id", kind="referential_integrity", columns=["id", "name"], referenceValues=['[1, "Ana"]', '[2, "x"]']) == 3
+    assert one(column="id", kind="schema_contract", columns=["id", "name"]) == 0 and one(column="id", kind="schema_contract", columns=["id"], allowAdditional=False, requiredOrder=["id"]) == 4
+    assert one(column="id", kind="dtype", dtype="int64") == 0 and one(column="id", kind="date_range", minDate="2020-01-01") == 4
+
+
 def test_group_summary_order(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), (None, 3), ("b", None), ("a", 5)], "k string, v long")
     out = Recipe.from_dict({"groupSummary": {"keys": ["k"], "aggregations": [{"column": "v", "function": f} for f in ("sum", "mean", "min", "max", "count", "count_unique")]}}).apply_ordered(df)
