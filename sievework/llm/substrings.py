@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .words import Hashes, hashed, windows
 
 #: Words in a phrase; bytes of text that a block and bytes of hashes that a range of the index are planned for.
-WINDOW, BLOCK_BYTES, RANGE_BYTES = 13, 8 << 20, 8 << 20
+WINDOW, BLOCK_BYTES, RANGE_BYTES = 13, 4 << 20, 16 << 20
 LAST_ID = np.iinfo(np.int64).max
-ASK = "bucket int, block int, hashes binary, sources binary"
+ASK = "bucket int, block int, hashes binary, sources binary, runs binary"
 ANSWER = "block int, bucket int, at binary, sources binary"
 KEPT = "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start:int,stop:int,source:long>>"
 
@@ -63,6 +63,12 @@ class Phrases:
         return [(k, by[s:e]) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s]
 
 
+def in_runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of runs of equal ones, and the runs' lengths."""
+    starts = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return x[starts], np.diff(np.append(starts, len(x))).astype(np.uint32)
+
+
 def factors(sources: np.ndarray, window: int) -> list[tuple[int, int, int]]:
     """(first word, word after the last, source) from the source of each phrase, -1 for none."""
     if not len(sources):
@@ -76,9 +82,11 @@ def _asking(buckets: int, window: int):
     def run(key, table):
         p = Phrases(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), window)
         rows = p.dealt(buckets)
+        runs = [in_runs(p.first[i]) for _, i in rows]
         return pa.table({
             "bucket": pa.array([k for k, _ in rows], pa.int32()), "block": pa.array([key[0].as_py()] * len(rows), pa.int32()),
-            "hashes": pa.array([p.hashes[i].tobytes() for _, i in rows], pa.binary()), "sources": pa.array([p.first[i].tobytes() for _, i in rows], pa.binary()),
+            "hashes": pa.array([p.hashes[i].tobytes() for _, i in rows], pa.binary()),
+            "sources": pa.array([d.tobytes() for d, _ in runs], pa.binary()), "runs": pa.array([n.tobytes() for _, n in runs], pa.binary()),
         })
 
     return run
@@ -87,7 +95,7 @@ def _asking(buckets: int, window: int):
 def _answered(table):
     """Of one range of the index: for each block, where its phrases have an earlier source, and which."""
     asked = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-    own = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("sources").to_pylist()])
+    own = np.concatenate([np.repeat(np.frombuffer(x, np.int64), np.frombuffer(n, np.uint32)) for x, n in zip(table.column("sources").to_pylist(), table.column("runs").to_pylist(), strict=True)])
     _, which = np.unique(np.concatenate(asked), return_inverse=True)
     least = np.full(int(which.max()) + 1 if len(which) else 0, LAST_ID)
     np.minimum.at(least, which, own)
