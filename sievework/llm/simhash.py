@@ -133,3 +133,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tops = moved.select("root", "least").unionAll(fps.join(moved.select(F.col("root").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("root"), "least")).groupBy("root").agg(F.min("least").alias("top"))
     named = rooted.join(tops, "root", "left").select("fp", F.coalesce("top", "least").alias("component_id"))
     return held.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
+    """The operator as a filter: docs with one document of each group of alike ones, the one with the smallest id; all columns. A group is what links reach; two texts
+    link if the similarity of their sets of five-word shingles is least or more. Such texts differ in too many bits for 64-bit fingerprints, so the wide ones of simhash_ring.py are used; its docstring has the defined cases."""
+    from .simhash_ring import similar_links
+
+    marked = docs.withColumn("_sw_key", F.xxhash64(F.col(doc_id), F.col(text)))
+    rows = marked.select(F.col("_sw_key").alias("key"), F.col(text).alias("text"))
+    groups = components(similar_links(rows, least))
+    # the smallest id of each group; narrow rows only
+    ids = marked.select(F.col("_sw_key").alias("node"), F.col(doc_id).alias("id"))
+    nodes = groups.unionAll(groups.select(F.col("root").alias("node"), "root").distinct())
+    named = written(ids.join(checked_broadcast(written(nodes, "similar-nodes")), "node").distinct(), "similar-members")
+    first = named.groupBy("root").agg(F.min_by("node", F.struct("id", "node")).alias("first"))
+    gone = written(named.join(first, "root").filter("node != first").select(F.col("node").alias("_sw_gone")), "similar-gone")
+    return marked.join(checked_broadcast(gone), F.col("_sw_key") == F.col("_sw_gone"), "left_anti").drop("_sw_key")

@@ -1,6 +1,6 @@
-"""Near-duplicates by shingle similarity, with segmented SimHash fingerprints and pigeonring filtering.
+"""The wide fingerprints of the SimHash operator: links by shingle similarity, with a ring of SimHash segments and pigeonring filtering.
 
-simhash.py links fingerprints of 64 bits that differ in two at most, which finds texts that are almost the same. Here two texts are alike if the
+With its 64 bits simhash.py links fingerprints of 64 bits that differ in two at most, which finds texts that are almost the same. Here two texts are alike if the
 Jaccard similarity of their sets of five-word shingles is at least 0.8; single 64-bit fingerprints of such texts differ in some ten bits, too
 many for an index. So the fingerprint is a ring of SEGMENTS segments of 32 bits, each the SimHash (majority of the bits) of a sample of the shingles:
 the SAMPLE smallest under a hash order of the segment's own. A segment is equal if the samples are, which at similarity 0.8 is
@@ -25,7 +25,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, slices, written
-from .graph import components
 from .simhash import LOWER
 from .words import mixed
 
@@ -172,17 +171,3 @@ def similar_links(keyed: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
     sets = written(keyed.join(ids, "key", "left_semi").mapInArrow(_sets, "key long, shingles binary"), "shingle-sets")
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
     return both.mapInArrow(_alike(least), "a long, b long")
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = MIN_SIMILARITY) -> DataFrame:
-    """docs with one document of each group of alike ones, the one with the smallest id; all columns. A group is what links reach."""
-    marked = docs.withColumn("_sw_key", F.xxhash64(F.col(doc_id), F.col(text)))
-    rows = marked.select(F.col("_sw_key").alias("key"), F.col(text).alias("text"))
-    groups = components(similar_links(rows, least))
-    # the smallest id of each group; narrow rows only
-    ids = marked.select(F.col("_sw_key").alias("node"), F.col(doc_id).alias("id"))
-    nodes = groups.unionAll(groups.select(F.col("root").alias("node"), "root").distinct())
-    named = written(ids.join(checked_broadcast(written(nodes, "similar-nodes")), "node").distinct(), "similar-members")
-    first = named.groupBy("root").agg(F.min_by("node", F.struct("id", "node")).alias("first"))
-    gone = written(named.join(first, "root").filter("node != first").select(F.col("node").alias("_sw_gone")), "similar-gone")
-    return marked.join(checked_broadcast(gone), F.col("_sw_key") == F.col("_sw_gone"), "left_anti").drop("_sw_key")

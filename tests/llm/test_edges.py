@@ -4,7 +4,7 @@ import pytest
 import public_tokenizers as P
 from pyspark.sql import functions as F
 
-from sievework.llm import bpe, chat, exact, leaks, quality, similar, simhash, substrings, token_counts, urls, warc
+from sievework.llm import bpe, chat, exact, leaks, quality, simhash, simhash_ring, substrings, token_counts, urls, warc
 from sievework.llm.common import new_path
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
@@ -35,7 +35,7 @@ OPERATORS = {
     "quality": lambda s, d: quality.score_documents(d, quality.fit(d, labels(s))),
     "keep_good": lambda s, d: quality.keep_good(d, quality.fit(d, labels(s))),
     "simhash": lambda s, d: simhash.near_duplicates(d),
-    "similar": lambda s, d: similar.one_of_each(d),
+    "similar": lambda s, d: simhash.one_of_each(d),
     "bpe": lambda s, d: bpe.encode_decode(d, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN),
     "tokens": lambda s, d: token_counts.count_tokens(d, P.path("byte_bpe_50k.json"), new_path(s, "cache")),
 }

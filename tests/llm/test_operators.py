@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sievework.llm import bpe, chat, exact, leaks, quality, similar, simhash, substrings, token_counts, urls
+from sievework.llm import bpe, chat, exact, leaks, quality, simhash, simhash_ring, substrings, token_counts, urls
 from sievework.llm.common import load, new_path
 from sievework.llm.graph import components
 from sievework.llm.queries import QUERIES, URL_RULES
@@ -312,8 +312,8 @@ def edited(r, words, n):
 
 @pytest.mark.parametrize("few,crowd", [(8, 4096), (2, 10)])
 def test_similar(spark, monkeypatch, few, crowd):
-    monkeypatch.setattr(similar, "FEW", few)
-    monkeypatch.setattr(similar, "CROWD", crowd)
+    monkeypatch.setattr(simhash_ring, "FEW", few)
+    monkeypatch.setattr(simhash_ring, "CROWD", crowd)
     r = random.Random(9)
     docs = []
     for _ in range(60):
@@ -323,7 +323,7 @@ def test_similar(spark, monkeypatch, few, crowd):
     sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in enumerate(docs)}
     alike = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     want = grouped(alike, sets)
-    kept = {x["doc_id"] for x in similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {x["doc_id"] for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     best = {i for i, w in want.items() if i == w}
     assert best <= kept and len(kept - best) <= 0.02 * len(alike)  # never drops one that should stay
     if few == 8:
