@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +59,16 @@ def widened(df: DataFrame) -> DataFrame:
         elif kind == "float" or kind.startswith("decimal"):
             out[name] = quoted(name).cast("double")
     return df.withColumns(out) if out else df
+
+
+def against(c: Column, kind: str, op: str, bound: float) -> Column:
+    """c compared with a number, as real numbers: eq, neq, gt, lt, gte or lte. For whole-number columns the bound becomes a whole number, so that the comparison reaches the scan as it is."""
+    if is_whole(kind) and abs(bound) < 1 << 53:
+        low, high = math.floor(bound), math.ceil(bound)
+        if op in ("eq", "neq"):
+            if low != high:
+                return c.isNotNull() & F.lit(op == "neq")
+            return c == F.lit(low) if op == "eq" else c != F.lit(low)
+        return {"gt": lambda: c > F.lit(low), "lte": lambda: c <= F.lit(low), "gte": lambda: c >= F.lit(high), "lt": lambda: c < F.lit(high)}[op]()
+    d, b = (c if kind == "double" else c.cast("double")), F.lit(bound)
+    return {"eq": lambda: d == b, "neq": lambda: d != b, "gt": lambda: d > b, "lt": lambda: d < b, "gte": lambda: d >= b, "lte": lambda: d <= b}[op]()

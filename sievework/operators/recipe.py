@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..functions import text as T
-from ..functions.order import RID, data_columns, is_number, is_time, is_whole, kind_of, quoted, with_rid
+from ..functions.order import RID, against, data_columns, is_number, is_time, is_whole, kind_of, quoted, with_rid
 from .outliers import treat_recipe
 
 SUFFIXES = {"sum": "sum", "mean": "mean", "min": "min", "max": "max", "count": "count", "count_unique": "count_unique"}
@@ -96,11 +96,11 @@ class Recipe:
 
     def apply(self, df: DataFrame, order: list[str] | str | None = None) -> DataFrame:
         """The transformed rows, without the order column. The result has no order of its own; see apply_ordered."""
-        return self.apply_ordered(df, order).drop(RID)
+        return _Run(self, with_rid(df, order) if order else df).result().drop(RID)
 
     def apply_ordered(self, df: DataFrame, order: list[str] | str | None = None) -> DataFrame:
-        """With _rid, which sorts the rows as the source's order has them."""
-        return _Run(self, with_rid(df, order)).result()
+        """With _rid, which sorts the rows as the source's order has them. The place in the scan is taken after the filters, which then reach the scan; it sorts the rows that are left in the same way."""
+        return _Run(self, with_rid(df, order) if order else df, late=True).result()
 
     def changes(self, df: DataFrame, order: list[str] | str | None = None) -> dict[str, int]:
         """Rows in and out, columns added and dropped, and changed cells of each column that keeps its name and type, in one pass over the row-local steps."""
@@ -123,8 +123,8 @@ class Recipe:
 class _Run:
     """One application: df is the state so far, names maps original names to present ones."""
 
-    def __init__(self, recipe: Recipe, df: DataFrame, hidden: set[str] = frozenset()):
-        self.recipe, self.df, self.hidden = recipe, df, hidden
+    def __init__(self, recipe: Recipe, df: DataFrame, hidden: set[str] = frozenset(), late: bool = False):
+        self.recipe, self.df, self.hidden, self.late = recipe, df, hidden, late
         self.names = {c: c for c in data_columns(df)}
 
     def result(self) -> DataFrame:
@@ -208,6 +208,8 @@ class _Run:
                     raise RecipeError(f"column {name!r} holds {row[f'n{i}']} values that aren't numbers")
         for t in tests:
             self.df = self.df.filter(t)
+        if self.late:
+            self.df = with_rid(self.df)
 
     def replace(self) -> None:
         steps = self.recipe.findReplace
@@ -345,7 +347,7 @@ def predicate(c: Column, kind: str, op: str, value: Any) -> tuple[Column, Column
     if kind == "string":
         read = P.strict_double(c)
         return compare(read, F.lit(bound)), c.isNotNull() & read.isNull()
-    return compare(c.cast("double"), F.lit(bound)), None
+    return against(c, kind, op, bound), None
 
 
 def group_summary(df: DataFrame, keys: list[str], aggregations: list[tuple[str, str]]) -> DataFrame:
@@ -372,4 +374,4 @@ def group_summary(df: DataFrame, keys: list[str], aggregations: list[tuple[str,
             "mean": lambda: F.avg(c), "min": lambda: F.min(c), "max": lambda: F.max(c), "count": lambda: F.count(F.lit(1)), "count_unique": lambda: F.count_distinct(c),  # noqa: B023
         }[how]()
         aggs.append(made.alias(f"{name}_{SUFFIXES[how]}"))
-    return df.groupBy(*grouped).agg(*aggs, F.min(RID).alias(RID))
+    return df.groupBy(*grouped).agg(*aggs, *([F.min(RID).alias(RID)] if RID in df.columns else []))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..functions import text as T
-from ..functions.order import RID, data_columns, is_number, kind_of, quoted, with_rid
+from ..functions.order import RID, against, data_columns, is_number, kind_of, quoted, with_rid
 from ..operators.joins import key_join
 
 DEFAULT_LIMIT, MAX_LIMIT, MAX_KEYS = 50, 200, 8
@@ -197,7 +197,7 @@ def _compared(df: DataFrame, name: str, op: str, value: str | None) -> Column:
     if number is None:
         return F.coalesce(as_text, F.lit(False))
     if is_number(kind):  # the plain comparison reaches the scan
-        return test(c, F.lit(number))
+        return against(c, kind, {"=": "eq", "<>": "neq", ">": "gt", ">=": "gte", "<": "lt", "<=": "lte"}[op], number)
     n = P.strict_double(c)
     return F.coalesce(F.when(n.isNotNull(), test(n, F.lit(number))).otherwise(as_text), F.lit(False))
 
@@ -223,7 +223,7 @@ def _aggregate(df: DataFrame, item: Item) -> Column:
 
 def unlimited(query: Query, dataset: DataFrame, compared: DataFrame | None = None, order: list[str] | str | None = None) -> DataFrame:
     """All rows of the query, with _rid in the order of the input (of first appearance for groups)."""
-    df = with_rid(dataset, order)
+    df = dataset if order is None and not query.join else with_rid(dataset, order)
     if query.join:
         if compared is None:
             raise QueryError("there is no compared dataset")
@@ -234,6 +234,7 @@ def unlimited(query: Query, dataset: DataFrame, compared: DataFrame | None = Non
         raise QueryError(f"no column {missing[0]!r}")
     for p in query.predicates:
         df = df.filter(_compared(df, *p))
+    df = with_rid(df)  # after the filters, which then reach the scan
     if any(i.function for i in query.items):
         aggs = [_aggregate(df, i).alias(i.name()) for i in query.items if i.function]
         if not query.group_by:

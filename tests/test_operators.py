@@ -199,6 +199,18 @@ def test_dialect(spark):
             dialect.run(bad, df)
 
 
+def test_comparisons_reach_the_scan(spark, data):
+    lines = spark.read.parquet(f"{data}/lineitem.parquet")
+    for df in (Recipe.from_dict({"filters": [{"column": "l_linenumber", "op": "gt", "value": "2.5"}], "keepColumns": ["l_orderkey"]}).apply(lines), dialect.run("SELECT l_orderkey FROM dataset WHERE l_linenumber >= 2.5", lines)):
+        plan = df._jdf.queryExecution().toString()
+        assert "GreaterThan" in plan.split("PushedFilters:")[1][:200] and "l_comment" not in plan.split("ReadSchema:")[1][:200]
+    whole = spark.createDataFrame([(1,), (2,), (None,)], "v long")
+    for op, bound, n in (("eq", 1.5, 0), ("neq", 1.5, 2), ("eq", 2, 1), ("gt", 1.5, 1), ("lte", 1.5, 1), ("gte", 1, 2), ("lt", 1, 0)):
+        from sievework.functions.order import against
+
+        assert whole.filter(against(F.col("v"), "bigint", op, float(bound))).count() == n
+
+
 def test_delimited(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_bytes('name;note;;name\n"a;1";"";x;\n"l1\nl2";;y;é\n'.encode())
