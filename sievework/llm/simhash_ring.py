@@ -6,7 +6,7 @@ many for an index. So the fingerprint is a ring of SEGMENTS segments of 32 bits,
 the SAMPLE smallest under a hash order of the segment's own. A segment is equal if the samples are, which at similarity 0.8 is
 so for about half of them, and no segment is for fewer than one pair in 10,000.
 
-Equal segments are the keys. A pair that meets is pruned by pigeonring: from the equal segment on, the differences of the chain's first 1, 2, ...
+Equal segments are the keys. A pair that meets is pruned by pigeonring: from an equal segment on, any of them, the differences of the chain's first 1, 2, ...
 segments must stay within their share of BUDGET bits for the whole ring. What passes is verified with the exact similarity of the two shingle sets, so that
 nothing is linked by chance. A key with up to FEW documents gives its pairs. In a larger one each document is compared
 with all others of the key, in blocks, and names its NEAREST; a key with over CROWD documents is divided by the next segments of the chain first,
@@ -104,12 +104,15 @@ def _named(key, table):
 
 
 def _budgets_kept(pairs: DataFrame) -> DataFrame:
-    """The pairs with a chain from segment k on, or any, that keeps to the budgets: natively, for pairs with both fingerprints (f*, g*)."""
+    """The pairs with a chain that keeps to the budgets, from any of the shared segments ks on: natively, for pairs with both fingerprints (f*, g*)."""
     d = F.array(*[F.bit_count(x) for w in WORDS for x in (F.col(w).bitwiseXOR(F.col("g" + w)).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col(w).bitwiseXOR(F.col("g" + w)), 32))])
-    turned = F.concat(F.slice("d", F.col("k") + 1, SEGMENTS), F.slice("d", F.lit(1), F.col("k")))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"), F.lit(True).alias("ok"))
-    walk = F.aggregate(turned, zero, lambda s, x: F.struct((s["n"] + 1).alias("n"), (s["sum"] + x).alias("sum"), (s["ok"] & ((s["sum"] + x) * SEGMENTS <= (s["n"] + 1) * BUDGET)).alias("ok")))
-    return pairs.withColumn("d", d).filter(walk["ok"])
+
+    def walk(k: Column) -> Column:
+        turned = F.concat(F.slice("d", k + 1, SEGMENTS), F.slice("d", F.lit(1), k))
+        return F.aggregate(turned, zero, lambda s, x: F.struct((s["n"] + 1).alias("n"), (s["sum"] + x).alias("sum"), (s["ok"] & ((s["sum"] + x) * SEGMENTS <= (s["n"] + 1) * BUDGET)).alias("ok")))["ok"]
+
+    return pairs.withColumn("d", d).filter(F.exists("ks", walk))
 
 
 def candidates(fps: DataFrame) -> DataFrame:
@@ -122,7 +125,7 @@ def candidates(fps: DataFrame) -> DataFrame:
     members = indexed.join(checked_broadcast(met.filter("n > 2").select("k", "v", "n")), ["k", "v"])
     few = members.filter(F.col("n") <= FEW).groupBy("k", "v").agg(F.array_sort(F.collect_list("key")).alias("all"))
     few = few.select("k", "all", F.posexplode("all").alias("i", "a")).select("k", "a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
-    pairs = found.unionAll(few).groupBy("a", "b").agg(F.min("k").alias("k"))
+    pairs = found.unionAll(few).groupBy("a", "b").agg(F.collect_set("k").alias("ks"))
     other = fps.select(F.col("key").alias("b"), *[F.col(w).alias("g" + w) for w in WORDS])
     pairs = _budgets_kept(pairs.join(fps.withColumnRenamed("key", "a"), "a").join(other, "b")).select("a", "b")
     many = written(members.filter(F.col("n") > FEW).select("key", "k", "v", "n").join(fps, "key"), "crowded-segments")

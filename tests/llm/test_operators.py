@@ -330,6 +330,20 @@ def test_similar(spark, monkeypatch, few, crowd):
         assert kept == best
 
 
+def test_ring_chain_from_any_shared_segment(spark):
+    """Segments 0 and 8 are shared; the chain from 0 breaks its budget at once, that from 8 keeps to it."""
+    a = [0] * 16
+    b = [0, (1 << 32) - 1, *[0] * 13, 0]
+    assert [bool(simhash_ring._within(np.array(a, np.uint32), np.array(b, np.uint32), k)) for k in (0, 8)] == [False, True]
+    a, b = ([x | i << 8 for i, x in enumerate(v)] for v in (a, b))
+    b = [y if i in (0, 1, 8) else y ^ 1 for i, y in enumerate(b)]
+    rows = [(key, *np.array(v, np.uint32).view(np.int64).tolist()) for key, v in ((1, a), (2, b))]
+    fps = spark.createDataFrame(rows, "key long, " + ", ".join(f"{w} long" for w in simhash_ring.WORDS))
+    got = simhash_ring.candidates(fps)
+    pairs = got[0] if isinstance(got, tuple) else got
+    assert [(x["a"], x["b"]) for x in pairs.collect()] == [(1, 2)]
+
+
 # Byte pairs
 
 
