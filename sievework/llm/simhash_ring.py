@@ -8,9 +8,10 @@ so for about half of them, and no segment is for fewer than one pair in 10,000.
 
 Equal segments are the keys. A pair that meets is pruned by pigeonring: from an equal segment on, any of them, the differences of the chain's first 1, 2, ...
 segments must stay within their share of BUDGET bits for the whole ring. What passes is verified with the exact similarity of the two shingle sets, so that
-nothing is linked by chance. A key with up to FEW documents gives its pairs. In a larger one each document is compared
-with all others of the key, in blocks, and names its NEAREST; a key with over CROWD documents is divided by the next segments of the chain first,
-until it is small or all segments are equal, where each is tried against the smallest.
+nothing is linked by chance. A key with up to FEW documents gives its pairs. A larger one is dealt in tiles of blocks of about CROWD
+documents, in which every pair of the key meets. In rounds each document names its nearest ones of other components, NEAREST in the first round and four times as
+many in each further one; what they name is verified, and what is alike becomes one component. A tile takes part until no document in it has more to name. So each pair of
+a key that the filter lets through is verified or its documents are in one component already.
 
 Defined cases: null and wordless texts are never alike; a text of fewer than five words is one shingle; rows with the same id and text are one document; a
 null id is smaller than any other; an empty table gives no rows.
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, slices, written
+from .graph import components
 from .simhash import LOWER
 from .words import mixed
 
@@ -82,25 +84,35 @@ def _within(a: np.ndarray, b: np.ndarray, start: int) -> np.ndarray:
     return (np.cumsum(d, axis=-1) * SEGMENTS <= np.arange(1, SEGMENTS + 1) * BUDGET).all(axis=-1)
 
 
-def _named(key, table):
-    """Of the documents of one key: for each its nearest within the budgets."""
-    k = key[0].as_py()
-    ids = np.asarray(table.column("key"))
-    f = np.stack([np.asarray(table.column(w)) for w in WORDS], axis=1).view(np.uint32)
-    pairs = []
-    for s in range(0, len(ids), 64):
-        block = f[s : s + 64]
-        total = np.zeros((len(block), len(ids)), np.int32)
-        for j in range(SEGMENTS):
-            total += np.bitwise_count(block[:, j, None] ^ f[None, :, j])
-        total[np.arange(len(block)), np.arange(s, s + len(block))] = 1 << 20
-        near = np.argsort(total, axis=1, kind="stable")[:, :NEAREST]
-        row = np.repeat(np.arange(len(block)), near.shape[1])
-        near = near.ravel()
-        ok = (total[row, near] <= BUDGET) & _within(block[row], f[near], k)
-        pairs.append(np.stack([ids[s + row[ok]], ids[near[ok]]], axis=1))
-    pairs = np.sort(np.concatenate(pairs), axis=1)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+def _named(most: int):
+    """Of a tile, block i against block j of a key's documents: for each of block i its `most` nearest of block j that are in another component and within the budgets,
+    and a row without a pair if some document has more."""
+
+    def run(key, table):
+        k, v, i, j = (x.as_py() for x in key)
+        ids, roots, blocks = (np.asarray(table.column(c)) for c in ("key", "root", "block"))
+        f = np.stack([np.asarray(table.column(w)) for w in WORDS], axis=1)
+        mine, there = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
+        g, far, more, pairs = f[there].view(np.uint64), 1 << 20, False, [np.zeros((0, 2), np.int64)]
+        for s in range(0, len(mine), 64):
+            at = mine[s : s + 64]
+            block = f[at].view(np.uint64)
+            total = np.zeros((len(at), len(there)), np.int32)
+            for w in range(len(WORDS)):
+                total += np.bitwise_count(block[:, w, None] ^ g[None, :, w])
+            total[(roots[at, None] == roots[None, there]) | (total > BUDGET)] = far
+            more |= bool(((total < far).sum(axis=1) > most).any())
+            near = np.argsort(total, axis=1, kind="stable")[:, :most]
+            row, near = np.repeat(np.arange(len(at)), near.shape[1]), near.ravel()
+            within = total[row, near] < far
+            row, near = row[within], near[within]
+            ok = _within(block.view(np.uint32)[row], g.view(np.uint32)[near], k)
+            pairs.append(np.stack([ids[at[row[ok]]], ids[there[near[ok]]]], axis=1))
+        pairs = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+        a, b = (pa.array(np.append(pairs[:, c], np.zeros(int(more), np.int64)), pa.int64(), mask=np.arange(len(pairs) + more) >= len(pairs)) for c in (0, 1))
+        return pa.table([*(pa.array([x] * len(a), t) for x, t in ((k, pa.int32()), (v, pa.int64()), (i, pa.int32()), (j, pa.int32()))), a, b], ["k", "v", "i", "j", "a", "b"])
+
+    return run
 
 
 def _budgets_kept(pairs: DataFrame) -> DataFrame:
@@ -115,8 +127,8 @@ def _budgets_kept(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("d", d).filter(F.exists("ks", walk))
 
 
-def candidates(fps: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of keys of fps that the filter lets through."""
+def candidates(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b), a < b, of the keys of fps with up to FEW documents that the filter lets through, and the members (key, k, v, n) of the larger keys."""
     all_segments = _segment(0)
     entries = F.transform(all_segments, lambda s, i: F.struct(i.alias("k"), s.alias("v")))
     indexed = fps.select("key", F.explode(entries).alias("e")).select("key", "e.k", "e.v")
@@ -128,22 +140,36 @@ def candidates(fps: DataFrame) -> DataFrame:
     pairs = found.unionAll(few).groupBy("a", "b").agg(F.collect_set("k").alias("ks"))
     other = fps.select(F.col("key").alias("b"), *[F.col(w).alias("g" + w) for w in WORDS])
     pairs = _budgets_kept(pairs.join(fps.withColumnRenamed("key", "a"), "a").join(other, "b")).select("a", "b")
-    many = written(members.filter(F.col("n") > FEW).select("key", "k", "v", "n").join(fps, "key"), "crowded-segments")
-    level = 1
-    while not many.isEmpty():
-        some = many.filter(F.col("n") <= CROWD)
-        pairs = pairs.unionAll(some.groupBy("k", "v").applyInArrow(_named, "a long, b long"))
-        crowd = many.filter(F.col("n") > CROWD)
-        if level == SEGMENTS:  # equal all round: each with the smallest
-            least = crowd.groupBy("k", "v").agg(F.min("key").alias("a"))
-            pairs = pairs.unionAll(crowd.join(least, ["k", "v"]).filter("key != a").select("a", F.col("key").alias("b")))
+    return pairs, members.filter((F.col("n") > FEW) & (F.col("n") > 2)).select("key", "k", "v", "n")
+
+
+def _apart(many: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of keys whose documents the links leave in several components, with their component's root."""
+    roots = components(links).withColumnRenamed("node", "key")
+    rooted = many.join(checked_broadcast(roots), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = written(rooted, "rooted-members")
+    keys = written(rooted.groupBy("k", "v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("k", "v"), "keys-apart")
+    return written(rooted.join(checked_broadcast(keys), ["k", "v"]), "members-apart")
+
+
+def _crowded_links(many: DataFrame, fps: DataFrame, links: DataFrame, alike) -> DataFrame:
+    """links and what the keys with over FEW documents add to them. alike: pairs -> those that are alike, written."""
+    apart, open_tiles, most = _apart(many, links), None, NEAREST
+    while not apart.isEmpty():
+        # tiles: each block of a key against itself and each later one, so that every pair of the key meets in one
+        parts = F.ceil(F.col("n") / CROWD).cast("int")
+        dealt = apart.withColumn("block", F.pmod(F.xxhash64("key"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        dealt = dealt.select("key", "k", "v", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        if open_tiles is not None:
+            dealt = dealt.join(checked_broadcast(open_tiles), ["k", "v", "i", "j"], "left_semi")
+        named = dealt.join(fps, "key").groupBy("k", "v", "i", "j").applyInArrow(_named(most), "k int, v long, i int, j int, a long, b long")
+        named = written(named, "named")
+        links = links.unionAll(alike(named.filter("a is not null").select("a", "b").distinct()))
+        open_tiles = written(named.filter("a is null").select("k", "v", "i", "j").distinct(), "open-tiles")
+        if open_tiles.isEmpty():
             break
-        step = F.element_at(_segment(0), F.pmod(F.col("k") + level, F.lit(SEGMENTS)) + 1)
-        finer = crowd.withColumn("v", F.xxhash64("v", step)).drop("n")
-        sizes = finer.groupBy("k", "v").agg(F.count("*").alias("n")).filter("n > 1")
-        many = written(finer.join(sizes, ["k", "v"]), "crowded-segments")
-        level += 1
-    return pairs.distinct()
+        apart, most = _apart(many.join(checked_broadcast(open_tiles.select("k", "v").distinct()), ["k", "v"], "left_semi"), links), 4 * most
+    return links
 
 
 def _sets(batches):
@@ -167,10 +193,15 @@ def _alike(least: float):
 
 
 def similar_links(keyed: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
-    """Edges (a, b) between keys of keyed (key, text; keys distinct) whose texts are alike."""
+    """Edges (a, b) between keys of keyed (key, text; keys distinct) whose texts are alike, in keys with over FEW documents only as many as connect what is alike."""
     fps = written(keyed.mapInArrow(_fingerprinted, "key long, " + ", ".join(f"{w} long" for w in WORDS)), "ring-fingerprints")
-    pairs = written(candidates(fps), "similar-candidates")
-    ids = checked_broadcast(written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "candidate-ids"))
-    sets = written(keyed.join(ids, "key", "left_semi").mapInArrow(_sets, "key long, shingles binary"), "shingle-sets")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.mapInArrow(_alike(least), "a long, b long")
+    pairs, many = candidates(fps)
+    pairs, many = written(pairs, "similar-candidates"), written(many, "crowded-segments")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionAll(many.select("key")).distinct()
+    sets = written(keyed.join(checked_broadcast(written(ids, "candidate-ids")), "key", "left_semi").mapInArrow(_sets, "key long, shingles binary"), "shingle-sets")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+        return written(both.mapInArrow(_alike(least), "a long, b long"), "similar-links")
+
+    return _crowded_links(many, fps, alike(pairs), alike)

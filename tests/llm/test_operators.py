@@ -339,11 +339,27 @@ def test_ring_chain_from_any_shared_segment(spark):
     b = [y if i in (0, 1, 8) else y ^ 1 for i, y in enumerate(b)]
     rows = [(key, *np.array(v, np.uint32).view(np.int64).tolist()) for key, v in ((1, a), (2, b))]
     fps = spark.createDataFrame(rows, "key long, " + ", ".join(f"{w} long" for w in simhash_ring.WORDS))
-    got = simhash_ring.candidates(fps)
-    pairs = got[0] if isinstance(got, tuple) else got
+    pairs, _ = simhash_ring.candidates(fps)
     assert [(x["a"], x["b"]) for x in pairs.collect()] == [(1, 2)]
 
 
+def families(seed, size):
+    """Two families of size near copies each; across them the similarity is 0.8 to 0.9, within them over 0.99."""
+    base = [f"v{seed}x{i}" for i in range(600)]
+    other = [f"y{i}" if i % 55 == 30 else w for i, w in enumerate(base)]
+    return [[*b, f"z{f}x{i}"] for f, b in enumerate((base, other)) for i in range(size)]
+
+
+def test_similar_families(spark):
+    """Each document has more than ten nearer ones in its own family, and only farther ones link the two."""
+    docs = families(5, 30)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in docs]
+    across = [len(a & b) / len(a | b) for a in sets[:30] for b in sets[30:]]
+    assert 0.8 <= min(across) and max(across) < 0.9
+    kept = simhash.one_of_each(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()
+    assert [x["doc_id"] for x in kept] == [0]
+
+
 # Byte pairs
 
 
