@@ -8,7 +8,8 @@ so for about half of them, and no segment is for fewer than one pair in 10,000.
 
 Equal segments are the keys. A pair that meets is pruned by pigeonring: from an equal segment on, any of them, the differences of the chain's first 1, 2, ...
 segments must stay within their share of BUDGET bits for the whole ring. What passes is verified with the exact similarity of the two shingle sets, so that
-nothing is linked by chance. A key with up to FEW documents gives its pairs. A larger one is dealt in tiles of blocks of about CROWD
+nothing is linked by chance. A key with up to FEW documents gives its pairs. In a larger one a document is tried with all others first, as
+long as that settles most of what is left, so that a group around one text takes a pass and not the square of its size. What is still apart is dealt in tiles of blocks of about CROWD
 documents, in which every pair of the key meets. In rounds each document names its nearest ones of other components, NEAREST in the first round and four times as
 many in each further one; what they name is verified, and what is alike becomes one component. A tile takes part until no document in it has more to name. So each pair of
 a key that the filter lets through is verified or its documents are in one component already.
@@ -155,6 +156,14 @@ def _apart(many: DataFrame, links: DataFrame) -> DataFrame:
 def _crowded_links(many: DataFrame, fps: DataFrame, links: DataFrame, alike) -> DataFrame:
     """links and what the keys with over FEW documents add to them. alike: pairs -> those that are alike, written."""
     apart, open_tiles, most = _apart(many, links), None, NEAREST
+    before, left, turn = None, apart.count(), 0
+    while left and (before is None or 2 * left < before):  # as long as that settles more than half
+        # one document of each key, another one each time, is tried with all others; a document in several keys takes the largest
+        one = apart.groupBy("k", "v").agg(F.min_by(F.struct("key", "root"), F.xxhash64("key", F.lit(turn))).alias("one"))
+        tried = apart.join(checked_broadcast(written(one, "leaders")), ["k", "v"]).filter("root != one.root").groupBy("key").agg(F.max_by("one.key", F.struct("n", "k")).alias("one"))
+        links = links.unionAll(alike(tried.select(F.least("key", "one").alias("a"), F.greatest("key", "one").alias("b")).distinct()))
+        apart, turn = _apart(many, links), turn + 1
+        before, left = left, apart.count()
     while not apart.isEmpty():
         # tiles: each block of a key against itself and each later one, so that every pair of the key meets in one
         parts = F.ceil(F.col("n") / CROWD).cast("int")

@@ -360,6 +360,16 @@ def test_similar_families(spark):
     assert [x["doc_id"] for x in kept] == [0]
 
 
+def test_similar_crowd(spark, monkeypatch):
+    """A key far larger than a tile: every document of the group is linked to it."""
+    monkeypatch.setattr(simhash_ring, "CROWD", 20)
+    r = random.Random(12)
+    base = [f"v{i}" for i in range(400)]
+    docs = [edited(r, base, 2) for _ in range(400)]
+    kept = simhash.one_of_each(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()
+    assert [x["doc_id"] for x in kept] == [0]
+
+
 # Byte pairs
 
 
