@@ -5,8 +5,9 @@ by Viterbi's algorithm into its likeliest words; a multinomial naive Bayes model
 that the rules decide, then judges the pages that they don't.
 
 Hosts are never grouped, so a host with a third of all pages costs no more than others; each worker keeps the splits it has made in a bounded dictionary. The
-word counts and the class counts are aggregated over all pages before anything is shuffled. What reaches the driver is bounded by the model's size: words, and pairs of
-class and word, from that count on which at most VOCABULARY words, or FEATURES pairs, have; the count comes from how many words have each count.
+word counts and the class counts are aggregated over all pages before anything is shuffled, and stay whole, totals included, in written tables. The model holds those that
+can be asked for: counts of words that stand in some distinct label of a host, and class counts of words of pages that no rule decides. Neither is capped, so driver and
+workers need memory for the distinct words of all hosts and of the undecided pages' paths.
 
 Defined cases: a null url or one without "://" has an empty host and path, which no rule fits; with no words to go by the classes'
 shares decide, a tie is allowed; if the rules decide no page, everything else is allowed; rows are judged one by one, so repeated rows
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-VOCABULARY, FEATURES, LEAST_COUNT, LONGEST_WORD = 50_000, 100_000, 2, 24
+LONGEST_WORD = 24
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
@@ -62,20 +63,23 @@ class Rules:
 
 @dataclass
 class WordModel:
-    """Unigram counts and, by class, counts of words. Built on the driver from bounded tables."""
+    """Unigram counts and, by class, counts of words. totals (by class) and distinct are those of the whole class table; None: words is the whole table."""
 
     counts: dict[str, int]
     total: int
     classes: dict[str, int] = field(default_factory=dict)
     words: dict[str, dict[str, int]] = field(default_factory=dict)
+    totals: dict[str, int] | None = None
+    distinct: int | None = None
 
     def __post_init__(self):
         self.log_total = math.log(max(1, self.total))
         self.cost = {w: self.log_total - math.log(n) for w, n in self.counts.items()}
         self.known: dict[str, list[str]] = {}
-        names = {w for by in self.words.values() for w in by}
+        totals = self.totals if self.totals is not None else {c: sum(by.values()) for c, by in self.words.items()}
+        distinct = self.distinct if self.distinct is not None else len({w for by in self.words.values() for w in by})
         self.shares = {c: math.log(n / sum(self.classes.values())) for c, n in self.classes.items()}
-        self.rows = {c: (self.words.get(c, {}), math.log(sum(self.words.get(c, {}).values()) + len(names) + 1)) for c in self.classes}
+        self.rows = {c: (self.words.get(c, {}), math.log(totals.get(c, 0) + distinct + 1)) for c in self.classes}
 
     def split(self, label: str) -> list[str]:
         """The likeliest words of a label. A stretch of n characters that is no word costs as much as one of once in ten words' tenth for each character."""
@@ -125,22 +129,16 @@ def word_counts(texts: DataFrame, column: str) -> DataFrame:
     return words.filter((F.length("word") > 0) & (F.length("word") <= LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def most_frequent(counts: DataFrame, most: int, least: int = 1) -> DataFrame:
-    """The rows of counts (n and others) whose n is so large that at most `most` rows have it or more. No row order and no top-k in one place: n takes few values, and those are counted."""
-    sizes = counts.filter(F.col("n") >= least).groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n"))
-    total, floor = 0, None
-    for r in sizes.toLocalIterator():
-        total += r["rows"]
-        if total > most:
-            break
-        floor = r["n"]
-    return counts.filter(F.col("n") >= (floor if floor is not None else 1 << 62))
-
-
-def fit_words(pages: DataFrame, html: str = "html") -> WordModel:
-    counts = written(word_counts(pages, html).filter(F.col("n") >= LEAST_COUNT), "word-counts")
-    found = {r["word"]: r["n"] for r in most_frequent(counts, VOCABULARY).collect()}
-    return WordModel(found, sum(found.values()))
+def fit_words(pages: DataFrame, html: str = "html", url: str = "url") -> WordModel:
+    """The counts of all words of the pages; held are those of words that stand in a label of some host."""
+    counts = written(word_counts(pages, html), "word-counts")
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hosts = pages.select(parts_of(F.col(url))[0].alias("host")).distinct()
+    runs = hosts.select(F.explode(F.split("host", r"[.\-_:@\d]+")).alias("run")).filter("run != ''").distinct()
+    starts = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("start"))
+    stretches = starts.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("run") - F.col("start") + 1)), lambda n: F.col("run").substr(F.col("start"), n))).alias("word"))
+    found = counts.join(stretches.distinct(), "word", "left_semi")
+    return WordModel({r["word"]: r["n"] for r in found.toLocalIterator()}, total)
 
 
 def _tokenised(shared, rules: list[Rule]):
@@ -150,28 +148,29 @@ def _tokenised(shared, rules: list[Rule]):
             verdicts, words = [], []
             for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
                 hit = table.find(host, path)
-                if hit:
-                    verdicts.append(hit[1])
-                    words.append(model.tokens(host, path))
+                verdicts.append(hit and hit[1])
+                words.append(model.tokens(host, path))
             yield pa.RecordBatch.from_arrays([pa.array(verdicts, pa.string()), pa.array(words, pa.list_(pa.string()))], ["verdict", "words"])
 
     return run
 
 
 def fit_classes(pages: DataFrame, model: WordModel, rules: list[Rule], url: str = "url") -> WordModel:
-    """The model with class counts from every page that the rules decide."""
+    """The model with class counts from every page that the rules decide; held are those of words of the other pages."""
     host, path = parts_of(F.col(url))
     shared = pages.sparkSession.sparkContext.broadcast(model)
-    decided = pages.select(host.alias("host"), path.alias("path")).mapInArrow(_tokenised(shared, rules), "verdict string, words array<string>")
-    # one pass: a page's own entry is the null word
-    words = decided.select("verdict", F.explode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("word")).groupBy("verdict", "word").agg(F.count("*").alias("n"))
+    judged = pages.select(host.alias("host"), path.alias("path")).mapInArrow(_tokenised(shared, rules), "verdict string, words array<string>")
+    # one pass: a page's own entry is the null word; words without a verdict are those that will be asked for
+    words = judged.select("verdict", F.explode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("word")).groupBy("verdict", "word").agg(F.count("*").alias("n"))
     words = written(words, "class-counts")
-    rows = words.filter("word is null").collect() + most_frequent(words.filter("word is not null"), FEATURES).collect()
+    decided = words.filter("verdict is not null")
+    classes = {r["verdict"]: r["n"] for r in decided.filter("word is null").collect()}
+    totals = {r["verdict"]: r["n"] for r in decided.filter("word is not null").groupBy("verdict").agg(F.sum("n").alias("n")).collect()}
+    distinct = decided.filter("word is not null").select("word").distinct().count()
     by: dict[str, dict[str, int]] = {}
-    for r in rows:
-        if r["word"] is not None:
-            by.setdefault(r["verdict"], {})[r["word"]] = r["n"]
-    return WordModel(model.counts, model.total, {r["verdict"]: r["n"] for r in rows if r["word"] is None}, by)
+    for r in decided.join(words.filter("verdict is null and word is not null").select("word"), "word", "left_semi").toLocalIterator():
+        by.setdefault(r["verdict"], {})[r["word"]] = r["n"]
+    return WordModel(model.counts, model.total, classes, by, totals, distinct)
 
 
 def judge_urls(pages: DataFrame, model: WordModel, rules: list[Rule], page_id: str = "page_id", url: str = "url") -> DataFrame:

@@ -234,6 +234,20 @@ def test_bayes_counts():
     assert abs(m.score("bad", "") - want) < 1e-9
 
 
+def test_url_counts_are_whole(spark):
+    """Rare words split hosts, and pairs of class and word that stand once count, however many there are."""
+    many = "/".join(chr(97 + i // 26**3 % 26) + chr(97 + i // 26**2 % 26) + chr(97 + i // 26 % 26) + chr(97 + i % 26) for i in range(60_000))
+    rows = [(1, f"http://a.good/{many}", "zebra lion lion"), (2, f"http://b.bad/{many}/zzzzq", "<p>lion</p>"), (3, "http://zebralion.org/zzzzq", None), (4, "http://lion.org/aaab", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = [("allow", "good", "/"), ("block", "bad", "/")]
+    words = urls.fit_words(pages)
+    assert words.counts == {"zebra": 1, "lion": 3} and words.total == 4 and words.split("zebralion") == ["zebra", "lion"]
+    model = urls.fit_classes(pages, words, rules)
+    assert model.classes == {"allow": 1, "block": 1} and model.words["block"] == {"p:zzzzq": 1, "p:aaab": 1} and model.totals["block"] == model.totals["allow"] + 1
+    verdicts = {r["page_id"]: r["verdict"] for r in urls.judge_urls(pages, model, rules).collect()}
+    assert verdicts == {1: "allow", 2: "block", 3: "block", 4: "allow"}
+
+
 # SimHash
 
 
