@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one narrow column (ids or digests) that may be broadcast; beyond it the join shuffles.
@@ -19,21 +20,27 @@ CHUNK_BYTES = 4 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share. The session's spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
+    """The folder all executors share. The session's spark.checkpoint.dir; only in a local session, as in tests, one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "sievework")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the application ends."""
     path = f"{work_dir(spark)}/sievework/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    at, system = _at(spark, path)
+    system.deleteOnExit(at)
     return path
 
 
@@ -42,7 +49,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.sievework_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again, instead of at the application's end."""
+    for df in tables:
+        at, system = _at(df.sparkSession, df.sievework_path)
+        system.delete(at, True)
 
 
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -50,6 +66,43 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def digest_of(text: Column) -> Column:
+    """The SHA-256 of a text, null as empty: 32 bytes."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def without(docs: DataFrame, gone: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs without the rows whose id and text's SHA-256 are in gone (gone_id, gone_digest; a written table). Ids are compared with nulls equal; columns of docs may have any names."""
+    i, d = fresh(docs, "gone_id"), fresh(docs, "gone_digest")
+    listed = checked_broadcast(gone.select(F.col("gone_id").alias(i), F.col("gone_digest").alias(d)))
+    return docs.join(listed, F.col(doc_id).eqNullSafe(F.col(i)) & (digest_of(F.col(text)) == F.col(d)), "left_anti")
+
+
+#: A key with more than this share of the rows, and more rows than SPREAD_LEAST, is spread by spread_join; at most so many keys are.
+SPREAD_KEYS, SPREAD_LEAST = 2000, 100
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, rows: int, how: str = "inner") -> DataFrame:
+    """left joined to right on key, where any key may hold most rows of left: the keys with more than rows / SPREAD_KEYS rows, so at most SPREAD_KEYS of them, are dealt by a hash of the
+    column `by` of left to as many parts, each with its own copy of right's row. right has a key once. Beyond those keys it is Spark's own join."""
+    hot = left.groupBy(key).agg(F.count("*").alias("hot_rows")).filter(F.col("hot_rows") > F.greatest(F.lit(SPREAD_LEAST), F.lit(rows // SPREAD_KEYS)))
+    hot = written(hot.select(key, F.ceil(F.col("hot_rows") / max(SPREAD_LEAST, rows // SPREAD_KEYS)).cast("int").alias("parts")), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    few = F.broadcast(hot)  # SPREAD_KEYS rows at most
+    dealt = left.join(few, key, "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("parts")))).drop("parts")
+    copied = right.join(few, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+    return dealt.withColumn("part", F.col("part").cast("int")).join(copied, [key, "part"], how).drop("part")
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most about limit bytes of the column; a longer single row is a piece of its own."""
     sizes = pc.binary_length(batch.column(column)).to_pylist()

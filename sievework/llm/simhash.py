@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, slices, written
+from .common import checked_broadcast, digest_of, slices, without, written
 from .graph import components
 
 SEGMENTS, CROWD, SEED = 6, 32, 42
@@ -135,18 +135,49 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return held.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
-    """The operator as a filter: docs with one document of each group of alike ones, the one with the smallest id; all columns. A group is what links reach; two texts
-    link if the similarity of their sets of five-word shingles is least or more. Such texts differ in too many bits for 64-bit fingerprints, so the wide ones of simhash_ring.py are used; its docstring has the defined cases."""
-    from .simhash_ring import similar_links
-
-    marked = docs.withColumn("_sw_key", F.xxhash64(F.col(doc_id), F.col(text)))
-    rows = marked.select(F.col("_sw_key").alias("key"), F.col(text).alias("text"))
-    groups = components(similar_links(rows, least))
-    # the smallest id of each group; narrow rows only
-    ids = marked.select(F.col("_sw_key").alias("node"), F.col(doc_id).alias("id"))
-    nodes = groups.unionAll(groups.select(F.col("root").alias("node"), "root").distinct())
-    named = written(ids.join(checked_broadcast(written(nodes, "similar-nodes")), "node").distinct(), "similar-members")
-    first = named.groupBy("root").agg(F.min_by("node", F.struct("id", "node")).alias("first"))
-    gone = written(named.join(first, "root").filter("node != first").select(F.col("node").alias("_sw_gone")), "similar-gone")
-    return marked.join(checked_broadcast(gone), F.col("_sw_key") == F.col("_sw_gone"), "left_anti").drop("_sw_key")
+def _described(prefixes, size: int):
+    def run(batches):
+        of = prefixes()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = part.column("text").to_pylist()
+                fp = np.array([fingerprint((t or "").encode(), size) for t in texts], np.uint64)
+                n, prefix = of(texts)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), pa.array(fp.view(np.int64)), n, prefix], ["id", "digest", "fp", "n", "prefix"])
+
+    return run
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 3, max_diff: int = 2) -> DataFrame:
+    """The operator as a filter: docs with one document of each group, the one with the smallest id; all columns. A group is what links reach. Two texts link if their
+    fingerprints differ in max_diff bits or fewer, as above, or if the similarity of their sets of five-word shingles is least or more: such texts mostly differ in more bits
+    than an index of fingerprints finds, so similar.py finds them.
+
+    Defined cases: null and wordless texts have fingerprint 0 and are alike; rows with the same id and text are one document, and stay or go together; a null id is smaller than any other; of equal ids
+    the row written first stays; an empty table gives no rows. Rows are told apart by id and SHA-256 of the text, so nothing goes by a chance collision; other columns only pass, whatever their names."""
+    from .similar import frequent, prefix_column, similar_links
+
+    body = docs.select(F.col(doc_id).alias("id"), digest_of(F.col(text)).alias("digest"), F.col(text).alias("text"))
+    prefixes = prefix_column(frequent(body), docs.sparkSession, least)
+    kind = body.schema["id"].dataType.simpleString()
+    told = body.mapInArrow(_described(prefixes, size), f"id {kind}, digest binary, fp long, n int, prefix array<long>").withColumn("node", F.monotonically_increasing_id())
+    told = written(told, "near-rows")
+    # the fingerprints' links, between the first rows of each; and every row to the first of its fingerprint
+    fps = written(told.groupBy("fp").agg(F.min("node").alias("first")), "distinct-fingerprints")
+    ends = [fps.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab"]
+    edges = links(fps.select("fp"), max_diff).join(ends[0], "a").join(ends[1], "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    again = told.groupBy("fp").agg(F.count("*").alias("rows")).filter("rows > 1").join(fps, "fp").select("fp", "first")
+    edges = edges.unionAll(told.select("fp", "node").join(checked_broadcast(written(again, "shared-fingerprints")), "fp").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    edges = written(edges.filter("a != b"), "fingerprint-links")
+    # one row of each text goes on
+    twice = written(told.groupBy("digest").agg(F.count("*").alias("rows"), F.min("node").alias("first")).filter("rows > 1").select("digest", "first"), "equal-texts")
+    single = told.select("node", "digest", "n", "prefix")
+    if not twice.isEmpty():
+        single = written(single.join(checked_broadcast(twice), "digest", "left").filter("first is null or first = node").drop("first"), "single-rows")
+    groups = components(similar_links(single, body.select("digest", "text"), least, edges))
+    members = groups.unionAll(groups.select(F.col("root").alias("node"), "root").distinct())
+    members = written(told.select("node", "id", "digest").join(checked_broadcast(written(members, "near-nodes")), "node"), "near-members")
+    first = members.groupBy("root").agg(F.min(F.struct("id", "node", "digest")).alias("first"))
+    gone = members.join(first, "root").filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))))
+    gone = written(gone.select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct(), "near-gone")
+    return without(docs, gone, doc_id, text)

@@ -2,20 +2,19 @@
 
 import pytest
 import public_tokenizers as P
-from pyspark.sql import functions as F
 
-from sievework.llm import bpe, chat, exact, leaks, quality, simhash, simhash_ring, substrings, token_counts, urls, warc
+from sievework.llm import bpe, chat, exact, leaks, quality, simhash, substrings, token_counts, urls, warc
 from sievework.llm.common import new_path
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
-SCHEMA = "doc_id long, text string, digest string, fp long, key string, block int, component_id string, n long"
+SCHEMA = "doc_id long, text string, digest string, fp long, key string, block int, component_id string, n long, gone_id string, gone_digest string, id string, node string"
 ROWS = [
     (1, WORDS), (2, WORDS), (2, WORDS), (3, None), (None, WORDS + " more"), (None, None), (4, ""), (5, " \t\n "), (6, "word"), (7, (WORDS + " ") * 3000), (8, "éñ 日本 <|endoftext|> 'll \u00a0 x"),
 ]
 
 
 def docs(spark, rows=ROWS):
-    return spark.createDataFrame([(i, t, "d", 1, "k", 2, "c", 3) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "d", 1, "k", 2, "c", 3, "g", "h", "i", "o") for i, t in rows], SCHEMA)
 
 
 def labels(spark, rows=((1, 1), (2, 0), (6, 1), (7, 0), (None, 1), (3, None))):
@@ -109,4 +108,4 @@ def test_edge_turns(spark):
     assert [(t["role"], t["text"]) for t in read[2]["turns"]] == [("role: x\n", "</turn>\n### User: "), ("assistant", "")]
     assert read[None]["loss_text"] == "b" and read[3]["loss_text"] == ""
     assert chat.format_chats(turns.limit(0)).count() == 0
-    assert not {"plain_ok", "head"} & set(chat.format_chats(turns).columns) and F is not None
+    assert not {"plain_ok", "head"} & set(chat.format_chats(turns).columns)

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sievework.llm import bpe, chat, exact, leaks, quality, simhash, simhash_ring, substrings, token_counts, urls
+from sievework.llm import bpe, chat, exact, leaks, quality, simhash, similar, substrings, token_counts, urls
 from sievework.llm.common import load, new_path
 from sievework.llm.graph import components
 from sievework.llm.queries import QUERIES, URL_RULES
@@ -324,37 +324,51 @@ def edited(r, words, n):
     return words
 
 
-@pytest.mark.parametrize("few,crowd", [(8, 4096), (2, 10)])
-def test_similar(spark, monkeypatch, few, crowd):
-    monkeypatch.setattr(simhash_ring, "FEW", few)
-    monkeypatch.setattr(simhash_ring, "CROWD", crowd)
+def near_groups(docs, least=0.8):
+    """id -> smallest id of its group, by all pairs: similarity of five-word shingles, or fingerprints that differ in two bits at most. docs: id -> words."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in docs.items()}
+    fps = {i: simhash.fingerprint(" ".join(w).encode()) for i, w in docs.items()}
+    alike = lambda a, b: (both := len(sets[a] & sets[b])) and both >= least * len(sets[a] | sets[b])
+    return grouped([(a, b) for a, b in itertools.combinations(docs, 2) if (fps[a] ^ fps[b]).bit_count() <= 2 or alike(a, b)], set(docs))
+
+
+@pytest.mark.parametrize("few,block,leaders", [(16, 192, 64), (2, 8, 3), (1, 3, 1)])
+def test_similar(spark, monkeypatch, few, block, leaders):
+    """Equal to all pairs, whatever the sizes at which a key is dealt in tiles."""
+    for name, value in (("FEW", few), ("BLOCK", block), ("LEADERS", leaders), ("BLOCK_SHINGLES", block * 100)):
+        monkeypatch.setattr(similar, name, value)
     r = random.Random(9)
     docs = []
     for _ in range(60):
         base = [f"v{r.randrange(5000)}" for _ in range(r.choice([9, 40, 120, 400]))]
         docs += [base, *(edited(r, base, r.randrange(1, 1 + max(1, len(base) // 30))) for _ in range(r.choice([0, 0, 1, 2, 12])))]
-    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in enumerate(docs)}
-    alike = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    want = grouped(alike, sets)
-    kept = {x["doc_id"] for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    best = {i for i, w in want.items() if i == w}
-    assert best <= kept and len(kept - best) <= 0.02 * len(alike)  # never drops one that should stay
-    if few == 8:
-        assert kept == best
-
-
-def test_ring_chain_from_any_shared_segment(spark):
-    """Segments 0 and 8 are shared; the chain from 0 breaks its budget at once, that from 8 keeps to it."""
-    a = [0] * 16
-    b = [0, (1 << 32) - 1, *[0] * 13, 0]
-    assert [bool(simhash_ring._within(np.array(a, np.uint32), np.array(b, np.uint32), k)) for k in (0, 8)] == [False, True]
-    a, b = ([x | i << 8 for i, x in enumerate(v)] for v in (a, b))
-    b = [y if i in (0, 1, 8) else y ^ 1 for i, y in enumerate(b)]
-    rows = [(key, *np.array(v, np.uint32).view(np.int64).tolist()) for key, v in ((1, a), (2, b))]
-    fps = spark.createDataFrame(rows, "key long, " + ", ".join(f"{w} long" for w in simhash_ring.WORDS))
-    pairs, _ = simhash_ring.candidates(fps)
-    assert [(x["a"], x["b"]) for x in pairs.collect()] == [(1, 2)]
+    docs += [["one"], ["one", "two"], ["one"], [], []]
+    r.shuffle(docs)
+    docs = dict(enumerate(docs))
+    kept = {x["doc_id"] for x in simhash.one_of_each(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()}
+    assert kept == {i for i, w in near_groups(docs).items() if i == w}
+
+
+def test_prefixes_meet():
+    """Two sets of similarity 0.8 share a shingle of their prefixes in any order."""
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(r.integers(1, 60))
+        a = r.choice(200, n, replace=False).astype(np.uint64)
+        b = np.unique(np.concatenate([a[: n - n // 9], r.choice(200, n // 9).astype(np.uint64)]))
+        a = np.sort(a)
+        both = len(np.intersect1d(a, b))
+        order = similar.Order(r.permutation(200)[: int(r.integers(0, 200))].astype(np.uint64))
+        if similar.enough(np.int64(both), len(a), len(b), 0.8):
+            assert set(order.prefix(a, 0.8).tolist()) & set(order.prefix(b, 0.8).tolist())
+
+
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(similar, "COLUMNS", 7)
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 90, int(n)).astype(np.uint64)) for n in r.integers(0, 60, 30)]
+    got = similar.overlaps(sets[:13], sets[13:])
+    assert [[len(np.intersect1d(a, b)) for b in sets[13:]] for a in sets[:13]] == got.tolist()
 
 
 def families(seed, size):
@@ -376,7 +390,7 @@ def test_similar_families(spark):
 
 def test_similar_crowd(spark, monkeypatch):
     """A key far larger than a tile: every document of the group is linked to it."""
-    monkeypatch.setattr(simhash_ring, "CROWD", 20)
+    monkeypatch.setattr(similar, "BLOCK", 20)
     r = random.Random(12)
     base = [f"v{i}" for i in range(400)]
     docs = [edited(r, base, 2) for _ in range(400)]
@@ -476,8 +490,7 @@ def test_pipeline(spark, data):
     last = {t: i for i, t in sorted(texts.items())}
     texts = {i: t for i, t in texts.items() if last[t] == i}
     low = {i: WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)) for i, t in texts.items()}
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in low.items()}
-    root = grouped([(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], sets)
+    root = near_groups(low)
     texts = {i: t for i, t in texts.items() if root[i] == i}
     items = [leaks.words_of(x["text"]) for x in load(spark, data, "benchmark").collect()]
 
