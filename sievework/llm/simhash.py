@@ -174,7 +174,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     single = told.select("node", "digest", "n", "prefix")
     if not twice.isEmpty():
         single = written(single.join(checked_broadcast(twice), "digest", "left").filter("first is null or first = node").drop("first"), "single-rows")
-    groups = components(similar_links(single, body.select("digest", "text"), least, edges))
+    groups = components(similar_links(single, body.select("digest", "text"), least, edges, twice.isEmpty()))
     members = groups.unionAll(groups.select(F.col("root").alias("node"), "root").distinct())
     members = written(told.select("node", "id", "digest").join(checked_broadcast(written(members, "near-nodes")), "node"), "near-members")
     first = members.groupBy("root").agg(F.min(F.struct("id", "node", "digest")).alias("first"))
