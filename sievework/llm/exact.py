@@ -9,7 +9,8 @@ A hit is no proof: each row of a group of several is compared byte for byte with
 differ are then grouped by digest and text.
 
 Defined cases: a null text counts as empty; a null doc_id counts as smaller than any other; if several rows hold the doc_id that stays
-with the same text, one of them stays; an empty table gives no rows; other columns don't matter.
+with the same text, one of them stays (a tie: any of them); a very long text is a digest like any other, and is shuffled only if another row has the same; an empty table gives no rows; other columns don't
+matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, written
+from .common import checked_broadcast, digest_of, fresh, spread_join, without, written
 
 #: Rows in a memtable, entries that a range of the index is planned for, runs merged at once, filter bits an entry.
 MEMTABLE, RANGE_ROWS, FANOUT, BITS = 200_000, 500_000, 8, 10
@@ -153,7 +154,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     sha = F.sha2("text", 256)
     digest = F.unhex(F.rpad(F.substring(sha, 1, digest_bits // 4), 64, "0"))
     keyed = written(body.select("doc_id", digest.alias("digest"), sha.alias("text_sha256")), "digests")
-    hits = written(build_index(keyed, keyed.count()), "digest-index")
+    rows = keyed.count()
+    hits = written(build_index(keyed, rows), "digest-index")
     index = checked_broadcast(hits)
     # hits are verified: every row of such a digest against the row that stays. A large group is spread over several tasks, each of which gets the text that stays
     met = body.withColumn("digest", digest).join(index, "digest")
@@ -163,7 +165,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     held = single.unionByName(several).select("digest", F.col("text").alias("held"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     spread = met.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
     unlike = written(spread.join(held, ["digest", "salt"]).filter(F.col("text") != F.col("held")).select("digest").distinct(), "digest-collisions")
-    out = keyed.join(hits, "digest", "left")
+    # a group that a third of all rows is in would be one key: spread
+    out = spread_join(keyed, hits, "digest", "doc_id", rows, "left")
     if not unlike.isEmpty():
         bad = checked_broadcast(unlike)
         groups = met.join(bad, "digest", "left_semi").groupBy("digest", "text", "doc_id").count().groupBy("digest", "text").agg(F.max("doc_id").alias("keep"), F.sum("count").alias("size"), F.max_by("count", F.coalesce("doc_id", F.lit(int(NULL_ID)))).alias("several"))
@@ -185,16 +188,15 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def keep_distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that exact_duplicates drops; all columns."""
+    """docs without the rows that exact_duplicates drops; all columns, whatever their names."""
     found = written(exact_duplicates(docs, doc_id, text), "exact")
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_sw_id"), F.col("text_sha256").alias("_sw_sha"), (~F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_sw_all")).distinct()
+    gone = found.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.unhex("text_sha256").alias("gone_digest"), (~F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("all")).distinct()
     gone = written(gone, "exact-gone")
-    sha = F.sha2(F.coalesce(docs[text], F.lit("")), 256)
-    marked = docs.withColumn("_sw_key", sha).withColumn("_sw_doc", F.col(doc_id).cast("long"))
-    match = F.col("_sw_doc").eqNullSafe(F.col("_sw_id")) & (F.col("_sw_key") == F.col("_sw_sha"))
-    left = marked.join(checked_broadcast(gone.filter("_sw_all")), match, "left_anti")
-    twice = gone.filter("not _sw_all").drop("_sw_all")
-    if not twice.isEmpty():  # rows that repeat the one that stays
-        b = checked_broadcast(twice)
-        left = left.join(b, match, "left_anti").unionByName(left.join(b, match, "left_semi").dropDuplicates(["_sw_doc", "_sw_key"]))
-    return left.drop("_sw_key", "_sw_doc")
+    left = without(docs, gone.filter("all"), doc_id, text)
+    twice = gone.filter("not all")
+    if twice.isEmpty():
+        return left
+    # rows that repeat the one that stays: one of them
+    i, d, own = fresh(docs, "gone_id"), fresh(docs, "gone_digest"), fresh(docs, "own_digest")
+    some = left.withColumn(own, digest_of(F.col(text))).join(checked_broadcast(twice.select(F.col("gone_id").alias(i), F.col("gone_digest").alias(d))), F.col(doc_id).eqNullSafe(F.col(i)) & (F.col(own) == F.col(d)), "left_semi")
+    return without(left, twice, doc_id, text).unionByName(some.dropDuplicates([doc_id, own]).drop(own))

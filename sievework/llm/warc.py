@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, written
+from .common import checked_broadcast, spread_join, written
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 100
@@ -70,7 +70,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archive: record_id, type, url, refers_to, digest (as computed from the stored bytes), payload (the full one, for revisits
     too) and record (the exact bytes of the original record). Fails on a payload whose digest isn't the one it is stored under."""
     payloads = spark.read.parquet(f"{path}/payloads").withColumn("actual", F.sha2("payload", 256))
-    rows = spark.read.parquet(f"{path}/headers").join(payloads, "digest", "left").withColumn("head", F.decode("header", "UTF-8"))
+    headers = spark.read.parquet(f"{path}/headers")
+    # a payload that a third of all records share has its copies of the bytes made in as many tasks
+    rows = spread_join(headers, payloads, "digest", "header", headers.count(), "left").withColumn("head", F.decode("header", "UTF-8"))
 
     def field(name: str) -> Column:
         return F.nullif(F.regexp_extract("head", rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))

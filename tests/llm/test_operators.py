@@ -460,11 +460,16 @@ def test_token_counts_and_cache(spark, data):
     half = docs.filter("doc_id % 2 = 0")
     token_counts.count_tokens(half, P.path("byte_bpe_50k.json"), cache).collect()
     held = token_counts.read_cache(spark, cache).count()
-    for broadcast in (10**6, 0):
-        got = token_counts.count_tokens(docs, P.path("byte_bpe_50k.json"), cache, broadcast_rows=broadcast).collect()
-        assert {x["doc_id"]: x["n_tokens"] for x in got} == want
+    got = token_counts.count_tokens(docs, P.path("byte_bpe_50k.json"), cache).collect()
+    assert {x["doc_id"]: x["n_tokens"] for x in got} == want
     cached = token_counts.read_cache(spark, cache)
     assert held == half.select("text").distinct().count() and cached.count() == docs.select("text").distinct().count()
+    # a filter that is too full holds back most texts; each digest is encoded once all the same
+    full = new_path(spark, "cache")
+    for times in (1, 2):
+        got = token_counts.count_tokens(docs.unionAll(docs.filter("doc_id < 100")), P.path("byte_bpe_50k.json"), full, bloom_bits=64 * times).collect()
+        assert {x["doc_id"]: x["n_tokens"] for x in got} == want and len(got) == docs.count() + docs.filter("doc_id < 100").count()
+        assert token_counts.read_cache(spark, full).count() == cached.count()
     special = spark.createDataFrame([(1, "a<|endoftext|>b"), (2, None)], "doc_id long, text string")
     assert {x["doc_id"]: x["n_tokens"] for x in token_counts.count_tokens(special, P.path("byte_bpe_50k.json"), cache).collect()} == {1: 3, 2: 0}
 
