@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .text import trim
 
+#: The grammars of whole numbers, numbers and numbers with a decimal comma.
 LONG = r"^[+-]?[0-9]+$"
 DOUBLE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 COMMA_NUMBER = r"^[+-]?([0-9]+|[0-9]{1,3}(\.[0-9]{3})+|[0-9]{1,3}( [0-9]{3})+),[0-9]+$"
@@ -29,7 +30,8 @@ def strict_double(c: Column) -> Column:
 
 
 def strict_boolean(c: Column) -> Column:
-    t = trim(c)
+    """true or false in any case of A-Z."""
+    t = F.lower(trim(c))
     return F.when(t == "true", True).when(t == "false", False)
 
 
@@ -61,7 +63,7 @@ def _date(year: Column, month: Column, day: Column) -> Column:
     return F.when((m >= 1) & (m <= 12) & (d >= 1) & (d <= last), F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("yyyy-MM-dd")).cast("date"))
 
 
-#: Orders of a date's parts, each with a regular expression whose groups are year, month, day as numbered.
+#: Orders of a date's parts, each with a regular expression whose groups are year, month, day as numbered.
 ORDERS = {
     "ymd": (r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})$", (1, 2, 3)),
     "dmy": (r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})$", (3, 2, 1)),

@@ -37,20 +37,31 @@ def remove_duplicates(df: DataFrame, order: list[str] | str | None = None) -> Da
     return df.groupBy(*[quoted(c) for c in names]).agg(*extra, F.min(RID).alias(RID)).select(*[quoted(c) for c in df.columns])
 
 
-def near_key(df: DataFrame) -> Column:
-    """The row's values, texts normalized."""
-    return F.struct(*[(T.normalize_text(quoted(c)) if kind_of(df, c) == "string" else quoted(c)).alias(f"k{i}") for i, c in enumerate(values_of(df))])
+def _row_digest(df: DataFrame, normal: bool) -> Column:
+    """The SHA-256 of a row's values, each with its length, so that no two rows are written alike; normal: of normalized texts."""
+    parts = []
+    for c in values_of(df):
+        kind, x = kind_of(df, c), quoted(c)
+        if kind == "string":
+            x = T.normalize_text(x) if normal else x
+        elif kind in ("float", "double"):
+            x = (x + F.lit(0.0)).cast("string")  # 0.0 and -0.0 are equal
+        else:
+            x = F.hex(x) if kind == "binary" else F.to_json(F.struct(x)) if kind.startswith(("array", "struct", "map")) else x.cast("string")
+        parts.append(F.coalesce(F.concat(F.octet_length(x).cast("string"), F.lit(":"), x), F.lit("-")))
+    return F.unhex(F.sha2(F.concat_ws(",", *parts), 256))
 
 
 def remove_near_duplicates(df: DataFrame, order: list[str] | str | None = None) -> DataFrame:
     """Of rows that are the same once their texts are normalized, the first stays, and so do its exact copies.
 
-    The rows are grouped to their distinct ones first, and the keys of those to the first: two aggregations and a join of distinct rows, so a large group isn't gathered."""
+    Only digests are grouped: to distinct rows, then to the first of each key. What is joined is the list of distinct rows that go, if there are any; no text is shuffled twice, and a large group is one row of each task."""
     df = with_rid(df, order)
-    keyed = df.withColumn("_key", near_key(df)).withColumn("_row", F.struct(*[quoted(c).alias(f"v{i}") for i, c in enumerate(values_of(df))]))
-    first = keyed.groupBy("_key").agg(F.min(F.struct(RID, "_row")).alias("_first")).select(F.col("_key").alias("_first_key"), F.col("_first._row").alias("_first_row"))
-    joined = keyed.join(first, F.col("_key").eqNullSafe(F.col("_first_key")))
-    return joined.filter(F.col("_row").eqNullSafe(F.col("_first_row"))).select(*[quoted(c) for c in df.columns])
+    told = df.select(RID, _row_digest(df, True).alias("key"), _row_digest(df, False).alias("row"))
+    rows = told.groupBy("key", "row").agg(F.min(RID).alias("at"))
+    first = rows.groupBy("key").agg(F.min(F.struct("at", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("_first_key"), F.col("first.row").alias("_first_row"))
+    gone = rows.join(first, F.col("key") == F.col("_first_key")).filter("row <> _first_row").select(F.col("row").alias("_gone"))
+    return df.join(gone, _row_digest(df, False) == F.col("_gone"), "left_anti")
 
 
 def remove_empty_rows(df: DataFrame) -> DataFrame:
@@ -240,6 +251,41 @@ class Report:
     by_column: dict[str, int]
 
 
+PREVIEW = "step string, column_name string, cells long"
+
+
+def preview_safe_corrections(df: DataFrame, order: list[str] | str | None = None) -> DataFrame:
+    """What safe_corrections would change, without the changed table: step, column_name (null: whole rows), cells. Steps: trim, sentinels, rename, duplicates (rows), cast to a type, gaps. One pass for
+    the cells, one for the duplicates and two for the types of what stays."""
+    df = with_rid(df, order)
+    found: list[tuple[str, str | None, int]] = []
+    trimmed = trim_text_values(df)
+    marked = normalize_sentinels(trimmed)
+    names, texts = values_of(df), text_columns(df)
+    # the operators' own expressions, on columns put side by side
+    both = df.select(*[quoted(c).alias(f"a{i}") for i, c in enumerate(texts)], *[T.trim(quoted(c)).alias(f"b{i}") for i, c in enumerate(texts)])
+    row = both.agg(*[F.count_if(~F.col(f"a{i}").eqNullSafe(F.col(f"b{i}"))).alias(f"t{i}") for i in range(len(texts))]).first() if texts else {}
+    found += [("trim", c, row[f"t{i}"]) for i, c in enumerate(texts)]
+    before = trimmed.agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(texts)]).first() if texts else {}
+    after = marked.agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(texts)]).first() if texts else {}
+    found += [("sentinels", c, before[f"n{i}"] - after[f"n{i}"]) for i, c in enumerate(texts)]
+    new_names = dict(zip(names, normalized_names(names), strict=True))
+    found += [("rename", c, 1) for c in names if new_names[c] != c]
+    distinct = remove_duplicates(normalize_column_names(marked))
+    rows = distinct.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    found.append(("duplicates", None, df.count() - rows))
+    types = _full_casts(distinct)
+    found += [(f"cast to {kind_of(distinct.select(x.alias('x')), 'x')}", c, rows) for c, x in types.items()]
+    gaps = distinct.withColumns(types)
+    from .outliers import impute_missing
+
+    filled = impute_missing(gaps)
+    counts = lambda d: d.agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(values_of(gaps))]).first()
+    had, has = counts(gaps), counts(filled)
+    found += [("gaps", c, has[f"n{i}"] - had[f"n{i}"]) for i, c in enumerate(values_of(gaps))]
+    return df.sparkSession.createDataFrame([x for x in found if x[2]], PREVIEW)
+
+
 def report(before: DataFrame, after: DataFrame, order: str = RID) -> Report:
     """What changed, for frames with the same order column: a join on it, and one aggregation."""
     shared = [c for c in values_of(after) if c in before.columns and kind_of(before, c) == kind_of(after, c) and c != order]
@@ -249,13 +295,10 @@ def report(before: DataFrame, after: DataFrame, order: str = RID) -> Report:
     return Report(before.count() - row["rows"], sum(by.values()), by)
 
 
-def safe_corrections(df: DataFrame, order: list[str] | str | None = None) -> DataFrame:
-    """Trim, sentinels, column names, exact duplicates, full numeric and date casts (only where every value converts), gaps."""
-    from .outliers import impute_missing
+def _full_casts(df: DataFrame) -> dict[str, Column]:
+    """The text columns of which every value converts, with the converted column."""
     from .profile import DATE_FORMATS, read_date
 
-    df = with_rid(df, order)
-    df = remove_duplicates(normalize_column_names(normalize_sentinels(trim_text_values(df))))
     names = [c for c in text_columns(df) if privacy_signal(c) != "identifier"]
     tests = {c: [P.strict_long(quoted(c)).isNotNull(), P.exact_number(quoted(c)).isNotNull(), P.leading_zero_code(quoted(c)), *[read_date(quoted(c), f).isNotNull() for f in DATE_FORMATS]] for c in names}
     new = {}
@@ -268,4 +311,13 @@ def safe_corrections(df: DataFrame, order: list[str] | str | None = None) -> Dat
             new[c] = P.strict_double(quoted(c))
         elif n in dates:
             new[c] = read_date(quoted(c), DATE_FORMATS[dates.index(n)])
-    return impute_missing(df.withColumns(new))
+    return new
+
+
+def safe_corrections(df: DataFrame, order: list[str] | str | None = None) -> DataFrame:
+    """Trim, sentinels, column names, exact duplicates, full numeric and date casts (only where every value converts), gaps."""
+    from .outliers import impute_missing
+
+    df = with_rid(df, order)
+    df = remove_duplicates(normalize_column_names(normalize_sentinels(trim_text_values(df))))
+    return impute_missing(df.withColumns(_full_casts(df)))

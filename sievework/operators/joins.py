@@ -128,13 +128,13 @@ def _differs(names: list[str]) -> Column:
 
 
 def compare_keys(current: DataFrame, compared: DataFrame, keys: list[str], options: CompareOptions = CompareOptions()) -> DataFrame:
-    """One row: matched, current_only, compared_only, conflicting keys; keys that either side repeats, which aren't compared; and their rows."""
+    """One row: keys that both sides have (matched; repeated and conflicting ones too) or one of them; keys that either side repeats, whose rows aren't compared, and these rows; and the keys with one row on either
+    side whose rows differ (conflicting)."""
     grouped, names = _keyed(current, compared, keys, options)
-    repeated = (F.col("na") > 1) | (F.col("nb") > 1)
-    single = ~repeated & (F.col("na") == 1) & (F.col("nb") == 1)
+    repeated, both = (F.col("na") > 1) | (F.col("nb") > 1), (F.col("na") > 0) & (F.col("nb") > 0)
     return grouped.agg(
-        F.count_if(single & ~_differs(names)).alias("matched"), F.count_if(single & _differs(names)).alias("conflicting"),
-        F.count_if(~repeated & (F.col("nb") == 0)).alias("current_only"), F.count_if(~repeated & (F.col("na") == 0)).alias("compared_only"),
+        F.count_if(both).alias("matched"), F.count_if(both & ~repeated & _differs(names)).alias("conflicting"),
+        F.count_if(F.col("nb") == 0).alias("current_only"), F.count_if(F.col("na") == 0).alias("compared_only"),
         F.count_if(repeated).alias("duplicate_keys"), F.coalesce(F.sum(F.when(repeated, F.col("na") + F.col("nb"))), F.lit(0)).alias("duplicate_rows"),
     )
 
@@ -151,10 +151,51 @@ def conflicts(current: DataFrame, compared: DataFrame, keys: list[str], options:
     return out.select(*[quoted(k) for k in keys], "x.*")
 
 
-def resolve_conflicts(current: DataFrame, compared: DataFrame, keys: list[str], decisions: DataFrame) -> DataFrame:
-    """current with the cells that decisions take from compared. decisions: the keys, column_name (null: every column of the row), choice (current or compared)."""
+def conflict_page(current: DataFrame, compared: DataFrame, keys: list[str], offset: int = 0, limit: int = 50, options: CompareOptions = CompareOptions()) -> DataFrame:
+    """conflicts() of one page of conflicting keys, in the order of the keys (nulls first): those from offset on, limit keys at most."""
+    if offset < 0 or not 1 <= limit <= 200:
+        raise ValueError("a page begins at 0 or later and has 1 to 200 keys")
+    found = conflicts(current, compared, keys, options)
+    order = [F.asc_nulls_first("`" + k.replace("`", "``") + "`") for k in keys]
+    chosen = found.select(*[quoted(k) for k in keys]).distinct().orderBy(*order).offset(offset).limit(limit)
+    chosen = chosen.select(*[quoted(k).alias(f"_p{i}") for i, k in enumerate(keys)])
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & quoted(k).eqNullSafe(F.col(f"_p{i}"))
+    return found.join(F.broadcast(chosen), cond, "left_semi").orderBy(*order)
+
+
+def _check_decisions(decisions: DataFrame, found: DataFrame, keys: list[str]) -> None:
+    """Each decision belongs to a conflict, is there once and has a known choice; a conflict is decided as a whole, or in each of its columns; exclude is for the whole."""
+    k = [f"k{i}" for i in range(len(keys))]
+    own = decisions.select(*[quoted(c).alias(a) for a, c in zip(k, keys, strict=True)], F.col("column_name").alias("c"), "choice")
+    by = own.groupBy(*k).agg(
+        F.count("*").alias("n"), F.count("c").alias("named"), F.collect_set("c").alias("columns"), F.count_if(F.col("choice") == "exclude").alias("out"),
+        F.count_if(~F.coalesce(F.col("choice").isin("current", "compared", "exclude"), F.lit(False))).alias("unknown"),
+    )
+    cells = found.select(*[quoted(c).alias("f" + a) for a, c in zip(k, keys, strict=True)], F.col("column_name").alias("cell")).groupBy(*["f" + a for a in k]).agg(F.collect_set("cell").alias("cells"))
+    cond = F.lit(True)
+    for a in k:
+        cond = cond & F.col(a).eqNullSafe(F.col("f" + a))
+    row = by.join(cells, cond, "left").agg(
+        F.sum("unknown").alias("unknown choices"), F.count_if(F.col("cells").isNull()).alias("keys without a conflict"),
+        F.count_if(F.size(F.array_except("columns", "cells")) > 0).alias("columns without a conflict"),
+        F.count_if((F.col("named") > 0) & ((F.col("named") != F.col("n")) | (F.size(F.array_except("cells", "columns")) > 0))).alias("keys of which some columns lack a decision"),
+        F.count_if((F.col("named") != F.size("columns")) | (F.col("n") - F.col("named") > 1)).alias("keys decided twice"),
+        F.count_if((F.col("out") > 0) & (F.col("n") > 1)).alias("keys excluded and decided otherwise"),
+    ).first()
+    wrong = [f"{n} {what}" for what, n in row.asDict().items() if n]
+    if wrong:
+        raise ValueError("the decisions don't fit the conflicts: " + ", ".join(wrong))
+
+
+def resolve_conflicts(current: DataFrame, compared: DataFrame, keys: list[str], decisions: DataFrame, options: CompareOptions = CompareOptions()) -> DataFrame:
+    """current with the cells that decisions take from compared and without the rows that they exclude; conflicts without a decision stay as they are. decisions: the keys, column_name (null: the whole row), choice
+    (current, compared or exclude). They are checked first; keys that either side repeats are no conflicts, so no row is multiplied."""
+    _check_decisions(decisions, conflicts(current, compared, keys, options), keys)
     names = [c for c in shared_columns(current, compared) if c not in keys]
-    takes = decisions.filter("choice = 'compared'").groupBy(*[quoted(k) for k in keys]).agg(F.collect_set(F.coalesce("column_name", F.lit("*"))).alias("_take"))
+    chosen = decisions.filter("choice <> 'current'").groupBy(*[quoted(k) for k in keys]).agg(F.collect_set(F.coalesce("column_name", F.lit("*"))).alias("_take"), (F.max("choice") == "exclude").alias("_out"))
+    chosen = chosen.select(*[quoted(k).alias(f"_d{i}") for i, k in enumerate(keys)], "_take", "_out")
     other = compared.select(*[quoted(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[quoted(c).alias(f"_c{i}") for i, c in enumerate(names)])
 
     def on(df_keys: list[Column], prefix: str) -> Column:
@@ -163,9 +204,8 @@ def resolve_conflicts(current: DataFrame, compared: DataFrame, keys: list[str],
             cond = cond & k.eqNullSafe(F.col(f"{prefix}{i}"))
         return cond
 
-    picked = takes.select(*[quoted(k).alias(f"_d{i}") for i, k in enumerate(keys)], "_take")
-    values = other.join(picked, on([F.col(f"_k{i}") for i in range(len(keys))], "_d")).drop(*[f"_d{i}" for i in range(len(keys))])
-    joined = current.join(values, on([quoted(k) for k in keys], "_k"), "left")
+    values = other.join(chosen, on([F.col(f"_k{i}") for i in range(len(keys))], "_d")).drop(*[f"_d{i}" for i in range(len(keys))])
+    joined = current.join(values, on([quoted(k) for k in keys], "_k"), "left").filter(~F.coalesce("_out", F.lit(False)))
     taken = lambda c: F.coalesce(F.array_contains("_take", "*") | F.array_contains("_take", c), F.lit(False))
     return joined.select(*[F.when(taken(c), F.col(f"_c{names.index(c)}")).otherwise(quoted(c)).alias(c) if c in names else quoted(c) for c in current.columns])
 

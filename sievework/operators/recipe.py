@@ -176,7 +176,7 @@ class _Run:
             jobs.append((name, source, reader(source, d.get("order", "iso8601")), d.get("policy", "review")))
         if not jobs:
             return
-        # an empty text is no value of another type, and no error
+        # an empty text is no value of another type: an error like any other text that is none
         failed = [read.isNull() & source.isNotNull() for _, source, read, _ in jobs]
         strict = [i for i, j in enumerate(jobs) if j[3] == "review"]
         if strict:

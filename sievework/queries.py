@@ -74,7 +74,7 @@ recipe("recipe_rename_cast", "orders", {"renames": [{"from": "o_orderkey", "to":
 recipe("recipe_filters_eq", "orders", {"filters": [{"column": "o_orderstatus", "op": "eq", "value": "F"}]}, "SELECT * FROM orders WHERE o_orderstatus = 'F'")
 recipe("recipe_filters_neq", "orders", {"filters": [{"column": "o_orderpriority", "op": "neq", "value": "1-URGENT"}, {"column": "o_orderstatus", "op": "neq", "value": "O"}]}, "SELECT * FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderstatus <> 'O'")
 recipe("recipe_filters_range", "lineitem", {"filters": [{"column": "l_quantity", "op": "gte", "value": "10"}, {"column": "l_quantity", "op": "lt", "value": 25}, {"column": "l_discount", "op": "gt", "value": 0.03}]}, "SELECT * FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 25 AND l_discount > 0.03")
-recipe("recipe_filters_contains", "part", {"filters": [{"column": "p_type", "op": "contains", "value": "bra"}, {"column": "p_name", "op": "not_contains", "value": "GREEN"}]}, "SELECT * FROM part WHERE contains(lower(p_type), 'bra') AND NOT contains(lower(p_name), 'green')")
+recipe("recipe_filters_contains", "part", {"filters": [{"column": "p_type", "op": "contains", "value": "eco"}, {"column": "p_name", "op": "not_contains", "value": "RED"}]}, "SELECT * FROM part WHERE contains(lower(p_type), 'eco') AND NOT contains(lower(p_name), 'red')")
 recipe("recipe_filters_temporal", "orders", {"filters": [{"column": "o_orderdate", "op": "gte", "value": "1995-03-01"}, {"column": "o_orderdate", "op": "lt", "value": "1996-01-01T12:00:00"}]}, "SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1996-01-01 12:00:00'")
 query2("recipe_filters_null", "documents", "labels", "SELECT d.doc_id, lang FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS NULL")(
     lambda d, la: Recipe.from_dict({"filters": [{"column": "quality", "op": "is_null"}], "keepColumns": ["doc_id", "lang"]}).apply(joins.key_join(d, la, [("doc_id", "doc_id")], "left"), "doc_id")
@@ -91,8 +91,11 @@ for _op, _sign in (("add", "+"), ("subtract", "-"), ("multiply", "*"), ("divide"
 recipe("recipe_calc_concat", "part", calculated("concat", {"column": "p_brand"}, {"literal": "/x"}), "SELECT *, p_brand || '/x' AS result FROM part")
 for _op in ("year", "month", "day"):
     recipe(f"recipe_calc_{_op}", "orders", calculated(_op, {"column": "o_orderdate"}), f"SELECT *, CAST({_op}(o_orderdate) AS INTEGER) AS result FROM orders")
-recipe("recipe_split", "part", {"splitColumn": {"column": "p_type", "delimiter": " ", "targets": ["a", "b"], "dropSource": True}, "keepColumns": ["p_partkey", "p_type"]}, "SELECT p_partkey, split_part(p_type, ' ', 1) AS a, CASE WHEN contains(p_type, ' ') THEN substr(p_type, instr(p_type, ' ') + 1) END AS b FROM part")
-recipe("recipe_merge", "part", {"mergeColumns": {"columns": ["p_brand", "p_type"], "target": "both", "separator": " - "}, "keepColumns": ["p_partkey", "p_brand", "p_type"]}, "SELECT p_partkey, p_brand, p_type, CASE WHEN coalesce(p_brand, p_type) IS NOT NULL THEN concat_ws(' - ', p_brand, p_type) END AS both FROM part")
+recipe("recipe_split", "part", {"splitColumn": {"column": "p_name", "delimiter": "r", "targets": ["a", "b"], "dropSource": True}, "keepColumns": ["p_partkey", "p_name"]}, "SELECT p_partkey, split_part(p_name, 'r', 1) AS a, CASE WHEN contains(p_name, 'r') THEN substr(p_name, instr(p_name, 'r') + 1) END AS b FROM part")
+recipe("recipe_merge_whole", "part", {"mergeColumns": {"columns": ["p_brand", "p_type"], "target": "both", "separator": " - "}, "keepColumns": ["p_partkey", "p_brand", "p_type"]}, "SELECT p_partkey, p_brand, p_type, p_brand || ' - ' || p_type AS both FROM part")
+query("recipe_merge", "part", "WITH g AS (SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS p_brand, CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS p_type FROM part) SELECT *, CASE WHEN coalesce(p_brand, p_type) IS NOT NULL THEN concat_ws(' - ', p_brand, p_type) END AS both FROM g")(
+    lambda p: Recipe.from_dict({"mergeColumns": {"columns": ["p_brand", "p_type"], "target": "both", "separator": " - "}}).apply(p.select("p_partkey", F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand")).alias("p_brand"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_type")).alias("p_type")))
+)
 recipe("recipe_find_replace_literal", "documents", {"findReplace": [{"column": "text", "find": "the", "replace": "[$1]"}], "keepColumns": ["doc_id", "text"]}, "SELECT doc_id, replace(text, 'the', '[$1]') AS text FROM documents")
 recipe("recipe_find_replace_regex", "customer", {"findReplace": [{"column": "c_name", "find": r"([A-Za-z]+)#0*(\d+)", "replace": "${2}_${1}$$", "regex": True}], "keepColumns": ["c_custkey", "c_name"]}, r"SELECT c_custkey, regexp_replace(c_name, '([A-Za-z]+)#0*([0-9]+)', '\2_\1$', 'g') AS c_name FROM customer")
 
@@ -107,18 +110,26 @@ recipe("recipe_extract_digits", "customer", extraction("digits"), "SELECT c_cust
 recipe("recipe_extract_letters", "customer", extraction("letters"), r"SELECT c_custkey, c_name, nullif(regexp_extract(c_name, '\p{L}+'), '') AS found FROM customer")
 recipe("recipe_extract_before", "customer", extraction("before", "#"), "SELECT c_custkey, c_name, CASE WHEN contains(c_name, '#') THEN split_part(c_name, '#', 1) END AS found FROM customer")
 recipe("recipe_extract_after", "customer", extraction("after", "#"), "SELECT c_custkey, c_name, CASE WHEN contains(c_name, '#') THEN substr(c_name, instr(c_name, '#') + 1) END AS found FROM customer")
-_CONTACT = ["c_custkey", "c_name"]
-recipe("recipe_contact_email", "customer", {"contactNormalizations": [{"column": "c_name", "kind": "email"}]}, "SELECT c_custkey, lower(trim(c_name)) AS c_name FROM customer", columns=_CONTACT)
-recipe("recipe_contact_phone", "customer", {"contactNormalizations": [{"column": "c_name", "kind": "phone"}]}, "SELECT c_custkey, CASE WHEN starts_with(trim(c_name), '+') THEN '+' ELSE '' END || regexp_replace(c_name, '[^0-9]', '', 'g') AS c_name FROM customer", columns=_CONTACT)
+_SAID = lambda c: c.select("c_custkey", F.concat(F.lit("  "), F.when(F.col("c_custkey") % 2 == 0, "+").otherwise("("), "c_name", F.lit(") ")).alias("said"))
+_SAID_SQL = "WITH g AS (SELECT c_custkey, '  ' || CASE WHEN c_custkey % 2 = 0 THEN '+' ELSE '(' END || c_name || ') ' AS said FROM customer) "
+query("recipe_contact_email", "customer", _SAID_SQL + "SELECT c_custkey, lower(trim(said)) AS said FROM g")(lambda c: Recipe.from_dict({"contactNormalizations": [{"column": "said", "kind": "email"}]}).apply(_SAID(c)))
+query("recipe_contact_phone", "customer", _SAID_SQL + "SELECT c_custkey, CASE WHEN starts_with(trim(said), '+') THEN '+' ELSE '' END || regexp_replace(said, '[^0-9]', '', 'g') AS said FROM g")(lambda c: Recipe.from_dict({"contactNormalizations": [{"column": "said", "kind": "phone"}]}).apply(_SAID(c)))
 recipe("recipe_contact_address", "documents", {"contactNormalizations": [{"column": "text", "kind": "address"}]}, r"SELECT doc_id, regexp_replace(regexp_replace(text, '[\s\x{0B}\x{85}\p{Z}]+', ' ', 'g'), '^ | $', '', 'g') AS text FROM documents", columns=["doc_id", "text"])
 recipe("recipe_date_parse", "orders", {"casts": [{"column": "o_totalprice", "target": "string"}], "dateParses": [{"column": "o_orderdate", "order": "iso8601", "target": "date", "policy": "nullify"}], "keepColumns": ["o_orderkey", "o_orderdate"]}, "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders")
-recipe("recipe_cast_nullify", "events", {"casts": [{"column": "event_type", "target": "integer", "policy": "nullify"}, {"column": "value", "target": "string"}], "keepColumns": ["event_id", "event_type"]}, "SELECT event_id, CASE WHEN regexp_full_match(trim(event_type), '[+-]?[0-9]+') THEN TRY_CAST(trim(event_type) AS BIGINT) END AS event_type FROM events")
+query("recipe_cast_nullify", "events", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(user_id AS BIGINT) END AS u FROM events")(
+    lambda e: Recipe.from_dict({"casts": [{"column": "u", "target": "integer", "policy": "nullify"}]}).apply(e.select("event_id", F.when(F.col("event_id") % 4 == 0, F.concat(F.col("user_id").cast("string"), F.lit(".5"))).otherwise(F.concat(F.lit(" "), F.col("user_id").cast("string"))).alias("u")))
+)
 recipe("recipe_group_summary", "lineitem", {"groupSummary": {"keys": ["l_returnflag", "l_linestatus"], "aggregations": [{"column": "l_quantity", "function": "sum"}, {"column": "l_quantity", "function": "mean"}, {"column": "l_shipdate", "function": "min"}, {"column": "l_shipdate", "function": "max"}, {"column": "l_orderkey", "function": "count"}, {"column": "l_suppkey", "function": "count_unique"}]}}, "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS l_quantity_sum, avg(l_quantity) AS l_quantity_mean, min(l_shipdate) AS l_shipdate_min, max(l_shipdate) AS l_shipdate_max, count(*) AS l_orderkey_count, count(DISTINCT l_suppkey) AS l_suppkey_count_unique FROM lineitem GROUP BY ALL")
-_FENCE = "WITH q AS (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b, quantile_cont({c}, 0.5) AS m FROM {t}), f AS (SELECT a - 1.5 * (b - a) AS lo, b + 1.5 * (b - a) AS hi, m FROM q) "
-for _how, _cell, _where in (("cap", "least(greatest({c}, lo), hi)", ""), ("drop", "{c}", "WHERE {c} BETWEEN lo AND hi"), ("impute", "CASE WHEN {c} BETWEEN lo AND hi THEN {c} ELSE m END", "")):
-    recipe(f"recipe_outlier_{_how}", "lineitem", {"outlierTreatments": [{"column": "l_extendedprice", "action": _how}]}, (_FENCE + "SELECT l_orderkey, l_linenumber, round(" + _cell + ", 6) AS l_extendedprice FROM {t}, f " + _where).format(c="l_extendedprice", t="lineitem"), columns=["l_orderkey", "l_linenumber", "l_extendedprice"])
-    _run = QUERIES[f"recipe_outlier_{_how}"]
-    QUERIES[f"recipe_outlier_{_how}"] = lambda s, d, f=_run: f(s, d).withColumn("l_extendedprice", F.round("l_extendedprice", 6))
+#: A column with values far out on both sides: every 50th is multiplied, every 70th turned negative.
+_FAR = lambda d: d.select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 50 == 0, F.col("l_extendedprice") * 40).when(F.col("l_orderkey") % 70 == 1, -3 * F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")).alias("price"))
+_FAR_SQL = "WITH g AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 50 = 0 THEN l_extendedprice * 40 WHEN l_orderkey % 70 = 1 THEN -3 * l_extendedprice ELSE l_extendedprice END AS price FROM lineitem), q AS (SELECT quantile_cont(price, 0.25) AS a, quantile_cont(price, 0.75) AS b, quantile_cont(price, 0.5) AS m FROM g), f AS (SELECT a - 1.5 * (b - a) AS lo, b + 1.5 * (b - a) AS hi, m FROM q) "
+_TREATED = {"cap": ("least(greatest(price, lo), hi)", ""), "drop": ("price", " WHERE price BETWEEN lo AND hi"), "impute": ("CASE WHEN price BETWEEN lo AND hi THEN price ELSE m END", "")}
+for _how, (_cell, _where) in _TREATED.items():
+    _sql = _FAR_SQL + f"SELECT l_orderkey, l_linenumber, round({_cell}, 6) AS price FROM g, f{_where}"
+    query(f"recipe_outlier_{_how}", "lineitem", _sql)(lambda d, how=_how: Recipe.from_dict({"outlierTreatments": [{"column": "price", "action": how}]}).apply(_FAR(d)).withColumn("price", F.round("price", 6)))
+    query(f"outlier_{_how}_all", "lineitem", _sql)(lambda d, how=_how: outliers.treat_all(_FAR(d), how, ["price"]).withColumn("price", F.round("price", 6)))
+_FAR_INT = lambda p: p.select("p_partkey", F.when(F.col("p_partkey") % 50 == 0, F.col("p_size") + 500).when(F.col("p_partkey") % 70 == 1, F.col("p_size") - 400).otherwise(F.col("p_size")).alias("size"))
+_FAR_INT_SQL = "WITH g AS (SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN p_size + 500 WHEN p_partkey % 70 = 1 THEN p_size - 400 ELSE p_size END AS size FROM part), q AS (SELECT quantile_cont(size, 0.25) AS a, quantile_cont(size, 0.75) AS b FROM g), f AS (SELECT a - 1.5 * (b - a) AS lo, b + 1.5 * (b - a) AS hi FROM q) "
 
 # Joins and comparison
 
@@ -130,21 +141,25 @@ query2("join_full", "documents", "labels", "SELECT coalesce(d.doc_id, l.doc_id)
 
 
 def halves(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two overlapping versions of orders, the second with other prices in places and some keys twice."""
+    """Two overlapping versions of orders, each with some keys twice, the second with other prices in places."""
     a = orders.filter(F.col("o_orderkey") % 10 < 7)
     b = orders.filter(F.col("o_orderkey") % 10 > 2).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    return a, b.unionAll(b.filter(F.col("o_orderkey") % 97 == 0))
+    return a.unionAll(a.filter(F.col("o_orderkey") % 89 == 0)), b.unionAll(b.filter(F.col("o_orderkey") % 97 == 0))
 
 
-_HALVES = "WITH a AS (SELECT * FROM orders WHERE o_orderkey % 10 < 7), b0 AS (SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice) FROM orders WHERE o_orderkey % 10 > 2), b AS (SELECT * FROM b0 UNION ALL SELECT * FROM b0 WHERE o_orderkey % 97 = 0) "
+_HALVES = "WITH a0 AS (SELECT * FROM orders WHERE o_orderkey % 10 < 7), a AS (SELECT * FROM a0 UNION ALL SELECT * FROM a0 WHERE o_orderkey % 89 = 0), b0 AS (SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice) FROM orders WHERE o_orderkey % 10 > 2), b AS (SELECT * FROM b0 UNION ALL SELECT * FROM b0 WHERE o_orderkey % 97 = 0) "
 query("compare_rows", "orders", _HALVES + ", i AS (SELECT * FROM a INTERSECT ALL SELECT * FROM b), x AS (SELECT * FROM a EXCEPT ALL SELECT * FROM b), y AS (SELECT * FROM b EXCEPT ALL SELECT * FROM a) SELECT (SELECT count(*) FROM i) AS common, (SELECT count(*) FROM x) AS current_only, (SELECT count(*) FROM y) AS compared_only")(lambda o: joins.compare_rows(*halves(o)))
 _KEYED = _HALVES + ", ka AS (SELECT o_orderkey, count(*) AS na, any_value(o_totalprice) AS pa FROM a GROUP BY 1), kb AS (SELECT o_orderkey, count(*) AS nb, any_value(o_totalprice) AS pb FROM b GROUP BY 1), k AS (SELECT coalesce(na, 0) AS na, coalesce(nb, 0) AS nb, pa, pb, coalesce(ka.o_orderkey, kb.o_orderkey) AS o_orderkey FROM ka FULL JOIN kb ON ka.o_orderkey = kb.o_orderkey) "
-query("compare_keys", "orders", _KEYED + "SELECT count(*) FILTER (na = 1 AND nb = 1 AND pa = pb) AS matched, count(*) FILTER (na = 1 AND nb = 1 AND pa <> pb) AS conflicting, count(*) FILTER (na = 1 AND nb = 0) AS current_only, count(*) FILTER (nb = 1 AND na = 0) AS compared_only, count(*) FILTER (na > 1 OR nb > 1) AS duplicate_keys, CAST(coalesce(sum(na + nb) FILTER (na > 1 OR nb > 1), 0) AS BIGINT) AS duplicate_rows FROM k")(lambda o: joins.compare_keys(*halves(o), ["o_orderkey"]))
+query("compare_keys", "orders", _KEYED + "SELECT count(*) FILTER (na > 0 AND nb > 0) AS matched, count(*) FILTER (na = 1 AND nb = 1 AND pa <> pb) AS conflicting, count(*) FILTER (na > 0 AND nb = 0) AS current_only, count(*) FILTER (nb > 0 AND na = 0) AS compared_only, count(*) FILTER (na > 1 OR nb > 1) AS duplicate_keys, CAST(coalesce(sum(na + nb) FILTER (na > 1 OR nb > 1), 0) AS BIGINT) AS duplicate_rows FROM k")(lambda o: joins.compare_keys(*halves(o), ["o_orderkey"]))
 query("conflicts", "orders", _KEYED + "SELECT o_orderkey, 'o_totalprice' AS column_name, round(pa, 2) AS current_value, round(pb, 2) AS compared_value FROM k WHERE na = 1 AND nb = 1 AND pa <> pb")(
     lambda o: joins.conflicts(*halves(o), ["o_orderkey"]).withColumns({c: F.round(F.col(c).cast("double"), 2) for c in ("current_value", "compared_value")})
 )
-query("resolve_conflicts", "orders", _KEYED + ", r AS (SELECT o_orderkey, pb FROM k WHERE na = 1 AND nb = 1 AND pa <> pb AND o_orderkey % 2 = 0) SELECT a.* REPLACE (coalesce(r.pb, a.o_totalprice) AS o_totalprice) FROM a LEFT JOIN r ON a.o_orderkey = r.o_orderkey")(
-    lambda o: joins.resolve_conflicts(*halves(o), ["o_orderkey"], joins.conflicts(*halves(o), ["o_orderkey"]).select("o_orderkey", "column_name", F.when(F.col("o_orderkey") % 2 == 0, "compared").otherwise("current").alias("choice")))
+_decided = lambda: F.when(F.col("o_orderkey") % 3 == 0, "exclude").when(F.col("o_orderkey") % 2 == 0, "compared").otherwise("current")
+query("resolve_conflicts", "orders", _KEYED + ", r AS (SELECT o_orderkey, pb FROM k WHERE na = 1 AND nb = 1 AND pa <> pb) SELECT a.* REPLACE (CASE WHEN r.pb IS NOT NULL AND a.o_orderkey % 2 = 0 THEN r.pb ELSE a.o_totalprice END AS o_totalprice) FROM a LEFT JOIN r ON a.o_orderkey = r.o_orderkey WHERE r.o_orderkey IS NULL OR a.o_orderkey % 3 <> 0")(
+    lambda o: joins.resolve_conflicts(*halves(o), ["o_orderkey"], joins.conflicts(*halves(o), ["o_orderkey"]).select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("column_name")).alias("column_name"), _decided().alias("choice")))
+)
+query("conflict_page", "orders", _KEYED + "SELECT o_orderkey, 'o_totalprice' AS column_name, round(pa, 2) AS current_value, round(pb, 2) AS compared_value FROM k WHERE na = 1 AND nb = 1 AND pa <> pb ORDER BY k.o_orderkey LIMIT 40 OFFSET 25")(
+    lambda o: joins.conflict_page(*halves(o), ["o_orderkey"], 25, 40).withColumns({c: F.round(F.col(c).cast("double"), 2) for c in ("current_value", "compared_value")})
 )
 query("consolidate", "orders", "SELECT * FROM orders WHERE o_orderkey % 10 < 7 UNION ALL SELECT * FROM orders WHERE o_orderkey % 10 >= 7")(lambda o: joins.consolidate(o.filter(F.col("o_orderkey") % 10 < 7), o.filter(F.col("o_orderkey") % 10 > 2), ["o_orderkey"]))
 query2("join_bound", "orders", "customer", "SELECT CAST(sum(a.n * b.n) AS BIGINT) AS n FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a JOIN (SELECT c_custkey AS k, count(*) AS n FROM customer GROUP BY 1) b USING (k)")(lambda o, c: o.sparkSession.range(1).select(F.lit(joins.join_bound(o, c, [("o_custkey", "c_custkey")])).cast("long").alias("n")))
@@ -153,8 +168,10 @@ query2("join_bound", "orders", "customer", "SELECT CAST(sum(a.n * b.n) AS BIGINT
 
 query("dedup_exact", "documents", "SELECT text, lang, min(doc_id) AS first_id FROM documents GROUP BY text, lang")(lambda d: cleaning.remove_duplicates(with_rid(d, "doc_id").select("text", "lang", "_rid")).withColumnRenamed("_rid", "first_id"))
 _NORMAL = r"lower(regexp_replace(regexp_replace({c}, '[\s\x{{0B}}\x{{85}}\p{{Z}}]+', ' ', 'g'), '^ | $', '', 'g'))"
-query("dedup_near", "documents", "WITH k AS (SELECT doc_id, text, strip_accents(" + _NORMAL.format(c="text") + ") AS k, lang FROM documents), f AS (SELECT *, first_value(text) OVER (PARTITION BY k, lang ORDER BY doc_id) AS t FROM k) SELECT doc_id, text, lang FROM f WHERE text = t")(
-    lambda d: cleaning.remove_near_duplicates(with_rid(d, "doc_id").select("text", "lang", "_rid")).withColumnRenamed("_rid", "doc_id")
+_LOOSE = lambda d: d.select(F.when(F.col("doc_id") % 3 == 0, F.translate("text", "abcdefgh", "ABCDEFGH")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("  "), "text")).otherwise(F.col("text")).alias("text"), "lang", F.col("doc_id").alias("_rid"))
+_LOOSE_SQL = "WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN translate(text, 'abcdefgh', 'ABCDEFGH') WHEN 1 THEN '  ' || text ELSE text END AS text, lang FROM documents), k AS (SELECT doc_id, text, strip_accents(" + _NORMAL.format(c="text") + ") AS k, lang FROM d) "
+query("dedup_near", "documents", _LOOSE_SQL + ", f AS (SELECT *, first_value(text) OVER (PARTITION BY k, lang ORDER BY doc_id) AS t FROM k) SELECT doc_id, text, lang FROM f WHERE text = t")(
+    lambda d: cleaning.remove_near_duplicates(_LOOSE(d)).withColumnRenamed("_rid", "doc_id")
 )
 query("drop_empty_rows", "documents", r"SELECT doc_id, t FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE lang END AS t FROM documents) WHERE trim(t) <> ''")(
     lambda d: cleaning.remove_empty_rows(d.select(F.when(F.col("doc_id") % 3 == 0, "  ").otherwise(F.col("lang")).alias("t"), F.col("doc_id").alias("_rid"))).withColumnRenamed("_rid", "doc_id")
@@ -178,15 +195,18 @@ query("cast_dates", "orders", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE)
 query("fix_encoding", "customer", "SELECT c_custkey, c_name || ' Ñandú – café' AS t FROM customer")(lambda c: cleaning.fix_encoding(c.select("c_custkey", F.concat("c_name", F.lit(" Ã‘andÃº â€“ cafÃ©")).alias("t"))))
 query("remove_columns", "orders", "SELECT o_orderkey, o_totalprice FROM orders")(lambda o: cleaning.remove_high_null_columns(cleaning.remove_constant_columns(cleaning.remove_empty_columns(o.select("o_orderkey", "o_totalprice", F.lit("x").alias("same"), F.lit(None).cast("string").alias("none"), F.when(F.col("o_orderkey") % 10 == 0, 1).alias("few"))))))
 query("normalize_names", "region", "SELECT r_regionkey AS region_numero, r_name AS region_numero_2 FROM region")(lambda r: cleaning.normalize_column_names(r.toDF("Región-Número", "región número")))
-query("audit_trail", "customer", "SELECT c_custkey, upper(c_name) AS c_name, NULL AS _cambios FROM customer")(lambda c: cleaning.trim_text_values(cleaning.enable_audit(c.select("c_custkey", F.upper("c_name").alias("c_name")))))
-query("outlier_cap_int", "part", _FENCE.format(c="p_size", t="part") + "SELECT p_partkey, CAST(CASE WHEN p_size < lo THEN ceil(lo) WHEN p_size > hi THEN floor(hi) ELSE p_size END AS INTEGER) AS p_size FROM part, f")(lambda p: outliers.treat_all(p.select("p_partkey", "p_size"), "cap", ["p_size"]))
+query("audit_trail", "customer", "SELECT c_custkey, c_name, upper(c_mktsegment) AS seg, nullif(concat_ws('; ', CASE WHEN c_custkey % 3 = 0 THEN 'trim: c_name' END, CASE WHEN c_custkey % 5 = 0 THEN 'sentinels: seg' END), '') AS _cambios FROM (SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer)")(
+    lambda c: cleaning.normalize_sentinels(cleaning.trim_text_values(cleaning.enable_audit(c.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit(" "))).otherwise(F.col("c_name")).alias("c_name"), F.when(F.col("c_custkey") % 5 == 0, "N/A").otherwise(F.upper("c_mktsegment")).alias("seg")))))
+)
+query("outlier_cap_int", "part", _FAR_INT_SQL + "SELECT p_partkey, CAST(CASE WHEN size < lo THEN ceil(lo) WHEN size > hi THEN floor(hi) ELSE size END AS INTEGER) AS size FROM g, f")(lambda p: outliers.treat_all(_FAR_INT(p), "cap", ["size"]).withColumn("size", F.col("size").cast("int")))
+query("outlier_impute_int", "part", _FAR_INT_SQL + "SELECT p_partkey, CAST(CASE WHEN size < lo OR size > hi THEN (SELECT quantile_disc(size, 0.5) FROM g) ELSE size END AS INTEGER) AS size FROM g, f")(lambda p: outliers.treat_all(_FAR_INT(p), "impute", ["size"]).withColumn("size", F.col("size").cast("int")))
 query("privacy_mask", "customer", "SELECT c_custkey, '[REDACTED]' AS customer_email FROM customer")(lambda c: cleaning.mask_personal_values(c.select("c_custkey", F.col("c_name").alias("customer_email"))))
 query("privacy_hash", "customer", "SELECT c_custkey, sha256('salt' || c_name) AS email FROM customer")(lambda c: sinks.with_privacy(c.select("c_custkey", F.col("c_name").alias("email")), "hash", ["email"], b"salt"))
 query("formula_safe", "customer", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '''=' || c_name ELSE '-1,5' END AS t FROM customer")(lambda c: sinks.formula_safe(c.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("="), "c_name")).otherwise("-1,5").alias("t"))))
 
 # Profiles
 
-query("profile_dataset", "documents", "WITH r AS (SELECT text, lang, count(*) AS n, strip_accents(" + _NORMAL.format(c="text") + ") AS k FROM documents GROUP BY text, lang) SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n) - count(*) AS BIGINT) AS duplicates, count(*) - count(DISTINCT (k, lang)) AS near_duplicates FROM r")(lambda d: profile.dataset_summary(d.select("text", "lang")))
+query("profile_dataset", "documents", _LOOSE_SQL + ", r AS (SELECT text, k, lang, count(*) AS n FROM k GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n) - count(*) AS BIGINT) AS duplicates, count(*) - count(DISTINCT (k, lang)) AS near_duplicates FROM r")(lambda d: profile.dataset_summary(_LOOSE(d).drop("_rid")))
 _NUMBERS = ["l_quantity", "l_extendedprice", "l_discount"]
 query("profile_numeric", "lineitem", " UNION ALL ".join(f"(WITH q AS (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.5) AS m, quantile_cont({c}, 0.75) AS b FROM lineitem) SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 6) AS std, round(any_value(a), 6) AS q1, round(any_value(m), 6) AS median, round(any_value(b), 6) AS q3, count(*) FILTER ({c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) AS outlier_count FROM lineitem, q)" for c in _NUMBERS))(
     lambda d: profile.column_profile(d, _NUMBERS).select("column_name", "row_count", "null_count", "unique_count", F.round("mean", 4).alias("mean"), *[F.round(c, 6).alias(c) for c in ("std", "q1", "median", "q3")], "outlier_count")
@@ -206,11 +226,16 @@ query("profile_corr", "lineitem", "SELECT 'l_quantity' AS left_column, 'l_extend
 query("profile_categorical", "part", "WITH c AS (SELECT p_type AS label, count(*) AS n FROM part GROUP BY 1), t AS (SELECT * FROM c WHERE n >= 3 ORDER BY n DESC, label LIMIT 8), a AS (SELECT count(*) AS total FROM part) SELECT label, n, round(n / total * 100, 6) AS percentage, false AS is_other FROM t, a UNION ALL SELECT 'Resto', CAST(total - coalesce((SELECT sum(n) FROM t), 0) AS BIGINT), round((total - coalesce((SELECT sum(n) FROM t), 0)) / total * 100, 6), true FROM a WHERE total > coalesce((SELECT sum(n) FROM t), 0)")(
     lambda d: profile.category_groups(d, "p_type").withColumn("percentage", F.round("percentage", 6))
 )
-_MONTHS = "SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01' AND o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1"
-_years = lambda o: o.filter((F.col("o_orderdate") >= F.lit("1994-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")))
-query("profile_temporal", "orders", f"SELECT period, 'month' AS granularity, n FROM ({_MONTHS})")(lambda o: profile.temporal_series(_years(o), "o_orderdate").drop("value"))
-query("temporal_sum", "orders", f"SELECT period, 'month' AS granularity, n, total AS value FROM ({_MONTHS})")(lambda o: profile.temporal_series(_years(o), "o_orderdate", "o_totalprice", "sum").withColumn("value", F.round("value", 2)))
-query("temporal_mean", "orders", f"SELECT period, 'month' AS granularity, n, mean AS value FROM ({_MONTHS})")(lambda o: profile.temporal_series(_years(o), "o_orderdate", "o_totalprice", "mean").withColumn("value", F.round("value", 4)))
+_PERIODS = "SELECT strftime(o_orderdate, '{f}') AS period, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean FROM {t} GROUP BY 1"
+_YEARS = _PERIODS.format(f="%Y", t="orders")
+#: The same orders within 30 months and within 70 days, so that the finer granularities are tried on all rows too.
+_near = lambda o, days: o.withColumn("o_orderdate", F.expr(f"date_add(date'2020-01-01', cast(datediff(o_orderdate, date'1995-01-01') % {days} as int))"))
+_near_sql = lambda f, days: _PERIODS.format(f=f, t=f"(SELECT * REPLACE (DATE '2020-01-01' + CAST(datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) % {days} AS INTEGER) AS o_orderdate) FROM orders)")
+query("profile_temporal", "orders", f"SELECT period, 'year' AS granularity, n FROM ({_YEARS})")(lambda o: profile.temporal_series(o, "o_orderdate").drop("value"))
+query("profile_temporal_months", "orders", f"SELECT period, 'month' AS granularity, n FROM ({_near_sql('%Y-%m', 900)})")(lambda o: profile.temporal_series(_near(o, 900), "o_orderdate").drop("value"))
+query("profile_temporal_days", "orders", f"WITH d AS ({_near_sql('%Y-%m-%d', 70)}) SELECT CASE WHEN CAST(period AS DATE) < (SELECT max(CAST(period AS DATE)) FROM d) - 47 THEN 'previous' ELSE period END AS period, 'day' AS granularity, CAST(sum(n) AS BIGINT) AS n FROM d GROUP BY 1")(lambda o: profile.temporal_series(_near(o, 70), "o_orderdate").drop("value"))
+query("temporal_sum", "orders", f"SELECT period, 'year' AS granularity, n, total AS value FROM ({_YEARS})")(lambda o: profile.temporal_series(o, "o_orderdate", "o_totalprice", "sum").withColumn("value", F.round("value", 2)))
+query("temporal_mean", "orders", f"SELECT period, 'year' AS granularity, n, mean AS value FROM ({_YEARS})")(lambda o: profile.temporal_series(o, "o_orderdate", "o_totalprice", "mean").withColumn("value", F.round("value", 4)))
 
 # Quality: each rule's checked and invalid
 
@@ -221,8 +246,9 @@ def rule(name: str, source: str, r: dict, invalid: str, checked: str = "count(*)
     )
 
 
-rule("not_null", "orders", {"kind": "not_null", "column": "o_custkey"}, "count(*) FILTER (o_custkey IS NULL)")
-rule("non_empty", "customer", {"kind": "non_empty", "column": "c_name"}, "count(*) FILTER (c_name IS NULL OR trim(c_name) = '')")
+_HOLES = lambda e: e.select("event_id", F.when(F.col("event_id") % 6 != 0, F.col("user_id")).alias("user"), F.when(F.col("event_id") % 9 == 0, " \u00a0").when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("kind"), "value", F.when(F.col("event_id") % 8 == 0, F.col("value") + 0.5).otherwise(F.col("value")).alias("other"))
+rule("not_null", "events", {"kind": "not_null", "column": "user"}, "count(*) FILTER (event_id % 6 = 0)", prepare=_HOLES)
+rule("non_empty", "events", {"kind": "non_empty", "column": "kind"}, "count(*) FILTER (event_id % 9 = 0 OR event_id % 4 = 0)", prepare=_HOLES)
 rule("unique", "orders", {"kind": "unique", "column": "o_custkey"}, "count(*) - count(DISTINCT o_custkey)")
 rule("numeric_range", "lineitem", {"kind": "numeric_range", "column": "l_quantity", "min": 5, "max": 40.5}, "count(*) FILTER (NOT coalesce(l_quantity BETWEEN 5 AND 40.5, false))")
 rule("allowed_values", "orders", {"kind": "allowed_values", "column": "o_orderstatus", "values": ["F", "O"]}, "count(*) FILTER (NOT coalesce(o_orderstatus IN ('F', 'O'), false))")
@@ -237,8 +263,10 @@ query2("quality_referential_integrity", "orders", "customer", "SELECT 'referenti
 rule("monotonic", "orders", {"kind": "monotonic", "column": "o_totalprice", "direction": "increasing"}, "0", order="o_orderkey")
 ORACLE["quality_monotonic"] = "SELECT 'monotonic' AS kind, count(*) AS checked, count(*) FILTER (o_totalprice < b) AS invalid FROM (SELECT o_totalprice, lag(o_totalprice) OVER (ORDER BY o_orderkey) AS b FROM orders)"
 rule("aggregate_check", "lineitem", {"kind": "aggregate_check", "column": "l_quantity", "aggregate": "sum", "expected": 0, "toleranceAbs": 1}, "1")
-rule("aggregate_reconciliation", "lineitem", {"kind": "aggregate_reconciliation", "column": "l_quantity", "other": "l_quantity"}, "0")
+rule("aggregate_check_mean", "lineitem", {"kind": "aggregate_check", "column": "l_quantity", "aggregate": "mean", "expected": 25, "toleranceAbs": 3}, "CASE WHEN abs(avg(l_quantity) - 25) <= 3 THEN 0 ELSE 1 END")
+rule("aggregate_reconciliation", "events", {"kind": "aggregate_reconciliation", "column": "value", "other": "other"}, "CASE WHEN abs(sum(CASE WHEN event_id % 8 = 0 THEN 0.5 ELSE 0 END)) > 1e-6 THEN 1 ELSE 0 END", prepare=_HOLES)
 rule("distribution_drift", "lineitem", {"kind": "distribution_drift", "column": "l_discount", "baseline": 0.05, "threshold": 0.5}, "0")
+rule("distribution_drift_found", "lineitem", {"kind": "distribution_drift", "column": "l_quantity", "baseline": 5, "threshold": 2}, "CASE WHEN abs(avg(l_quantity) - 5) > 2 THEN 1 ELSE 0 END")
 rule("date_range", "orders", {"kind": "date_range", "column": "o_orderdate", "min": "1993-01-01", "max": "1997-06-30"}, "count(*) FILTER (NOT o_orderdate BETWEEN TIMESTAMP '1993-01-01' AND TIMESTAMP '1997-06-30')")
 rule("conditional", "orders", {"kind": "conditional", "when": {"column": "o_orderstatus", "operator": "eq", "value": "F"}, "then": {"kind": "numeric_range", "column": "o_totalprice", "max": 100000}}, "count(*) FILTER (o_orderstatus = 'F' AND o_totalprice > 100000)", "count(*) FILTER (o_orderstatus = 'F')")
 rule("schema_contract", "region", {"kind": "schema_contract", "columns": ["r_name", "r_regionkey", "r_comment"], "ordered": True}, "2", "1")
@@ -260,10 +288,10 @@ query("explore_trend", "orders", f"SELECT strftime(o_orderdate, '%Y') AS period,
 
 # Readers of text
 
-query("parse_strict", "events", "SELECT event_id, CAST(user_id AS BIGINT) AS whole, CAST(NULL AS DOUBLE) AS nan_text, CAST(event_id AS DOUBLE) / 4 AS comma, CASE WHEN event_id % 2 = 0 THEN 'true' END AS flag FROM events")(
+query("parse_strict", "events", "SELECT event_id, CAST(user_id AS BIGINT) AS whole, CAST(NULL AS DOUBLE) AS nan_text, CAST(event_id AS DOUBLE) / 4 AS comma, CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS flag FROM events")(
     lambda e: e.select(
         "event_id", P.strict_long(F.concat(F.lit(" +"), F.col("user_id").cast("string"))).alias("whole"), P.strict_double(F.lit("nan")).alias("nan_text"),
-        P.strict_double(P.comma_decimal(F.replace((F.col("event_id") / 4).cast("decimal(20,2)").cast("string"), F.lit("."), F.lit(",")))).alias("comma"), P.strict_boolean(F.when(F.col("event_id") % 2 == 0, "true").otherwise("yes")).cast("string").alias("flag"),
+        P.strict_double(P.comma_decimal(F.replace((F.col("event_id") / 4).cast("decimal(20,2)").cast("string"), F.lit("."), F.lit(",")))).alias("comma"), P.strict_boolean(F.when(F.col("event_id") % 3 == 0, " TRUE").when(F.col("event_id") % 3 == 1, "False").otherwise("yes")).cast("string").alias("flag"),
     )
 )
 query("render_numbers", "lineitem", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = floor(l_quantity) THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.0' ELSE CAST(l_quantity AS VARCHAR) END AS t FROM lineitem")(lambda d: d.select("l_orderkey", "l_linenumber", T.render_text(F.col("l_quantity"), "double").alias("t")))
@@ -286,8 +314,8 @@ query("suggested_types", "events", "SELECT 'integer' AS user_id, 'decimal' AS va
 query("page_rows", "lineitem", "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, l_returnflag FROM lineitem ORDER BY lineitem.l_orderkey, lineitem.l_linenumber LIMIT 50 OFFSET 100")(
     lambda d: files.page(with_rid(d.select("l_orderkey", "l_linenumber", "l_returnflag"), ["l_orderkey", "l_linenumber"]), 100, 50)
 )
-query("compare_tolerant", "customer", "SELECT count(*) AS matched, CAST(0 AS BIGINT) AS conflicting FROM customer")(
-    lambda c: joins.compare_keys(c, c.withColumns({"c_name": F.concat(F.lit(" "), F.upper("c_name")), "c_acctbal": F.col("c_acctbal") * (1 + 1e-15)}), ["c_custkey"], joins.CompareOptions(True, True, True)).select("matched", "conflicting")
+query("compare_tolerant", "customer", "SELECT count(*) AS matched, count(*) FILTER (c_custkey % 11 = 0) AS conflicting FROM customer")(
+    lambda c: joins.compare_keys(c, c.withColumns({"c_name": F.concat(F.lit(" "), F.upper("c_name"), F.when(F.col("c_custkey") % 11 == 0, "x").otherwise("")), "c_acctbal": F.col("c_acctbal") * (1 + 1e-15)}), ["c_custkey"], joins.CompareOptions(True, True, True)).select("matched", "conflicting")
 )
 query("cast_exclude_rows", "events", "SELECT event_id, CAST(user_id AS BIGINT) AS u FROM events WHERE event_id % 9 <> 0")(
     lambda e: Recipe.from_dict({"casts": [{"column": "u", "target": "integer", "policy": "excludeRow"}]}).apply(e.select("event_id", F.when(F.col("event_id") % 9 == 0, "1d").otherwise(F.col("user_id").cast("string")).alias("u")))
@@ -298,3 +326,5 @@ query("recipe_full", "orders", "SELECT yr, count(*) AS total_count, CAST(sum(tot
         "groupSummary": {"keys": ["yr"], "aggregations": [{"column": "o_totalprice", "function": "count"}, {"column": "o_totalprice", "function": "sum"}]},
     }).apply(o.withColumn("o_totalprice", F.floor("o_totalprice").cast("double")), "o_orderkey")
 )
+
+from . import source_queries  # noqa: E402, F401  registers the rest

@@ -102,8 +102,9 @@ def detect_encoding(data: bytes) -> str:
     return "utf-8"
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str | None = None, header: bool = True, encoding: str | None = None, multiline: bool = True) -> DataFrame:
-    """All columns as text; a quoted empty cell is '', an empty one null. multiline=False lets Spark split large files, for data without line ends in quotes."""
+def read_delimited(spark: SparkSession, path: str, separator: str | None = None, header: bool = True, encoding: str | None = None, multiline: bool | None = None) -> DataFrame:
+    """All columns as text; a quoted empty cell is '', an empty one null. Files are split and read in parallel, unless a cell of the first bytes has a line end in quotes; multiline=True says that
+    later cells may have one, and makes a file one task."""
     data = head(spark, path)
     if not data:
         raise ValueError("the file is empty")
@@ -111,6 +112,8 @@ def read_delimited(spark: SparkSession, path: str, separator: str | None = None,
     text = data.decode("utf-8" if encoding == "utf-8" else "cp1252", errors="replace").removeprefix("\ufeff")
     separator = separator or detect_separator(text, path)
     first = records(text, separator, 1)
+    if multiline is None:
+        multiline = any("\n" in cell or "\r" in cell for r in records(text, separator, len(text)) for cell in r)
     names = readable_headers(first[0] if header else [None] * len(first[0]))
     reader = spark.read.option("sep", separator).option("header", header).option("quote", '"').option("escape", '"').option("emptyValue", EMPTY).option("encoding", "utf-8" if encoding == "utf-8" else "iso-8859-1").option("multiLine", multiline).option("mode", "PERMISSIVE")
     if line := line_separator(text):

@@ -88,7 +88,7 @@ def test_strict_numbers(spark):
     assert values(spark, lambda V: parse.strict_double(V), rows) == [None, None, None, 5.0, 1000.0, 7.0, None, None, None, 5.0, 0.5, None, 9223372036854775808.0]
     assert values(spark, lambda V: parse.strict_long(V), rows) == [None, None, None, 5, None, 7, None, None, None, None, None, None, None]
     assert values(spark, lambda V: parse.exact_number(V), ["9007199254740992", "9007199254740993", "1.5"]) == [9007199254740992.0, None, 1.5]
-    assert values(spark, lambda V: parse.strict_boolean(V), ["true", "TRUE", "1", " false "]) == [True, None, None, False]
+    assert values(spark, lambda V: parse.strict_boolean(V), ["true", "TRUE", "1", " False "]) == [True, True, None, False]
     assert values(spark, lambda V: parse.comma_decimal(V), ["1.234,56", "1 234,5", "1,5", "1,23,4", "x"]) == ["1234.56", "1234.5", "1.5", "1,23,4", "x"]
     assert values(spark, lambda V: parse.leading_zero_code(V), ["007", "0", "0.5", "-01"]) == [True, False, False, True]
 

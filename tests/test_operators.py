@@ -296,3 +296,47 @@ def test_panel(spark, data):
     gaps = spark.createDataFrame([("a",), (None,), (" ",)], "v string")
     assert explore.filtered(gaps, [explore.Filter("v", values=(None,))]).count() == 2
     assert explore.mirrors(orders.select("o_orderkey", (F.col("o_orderkey") + 1).alias("x")), "o_orderkey", "x")
+
+
+def test_compare_keys_with_repeats(spark):
+    """Matched keys are all that both sides have; repeated ones count in every place but conflicts."""
+    a = spark.createDataFrame([(k, "x") for k in (1, 2, 3, 3, 4, 4)], "k long, v string")
+    b = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x")], "k long, v string")
+    row = joins.compare_keys(a, b, ["k"]).first().asDict()
+    assert row == {"matched": 3, "conflicting": 1, "current_only": 1, "compared_only": 0, "duplicate_keys": 2, "duplicate_rows": 5}
+
+
+def test_resolve_conflicts_checks_decisions(spark):
+    a = spark.createDataFrame([(1, "x", "p"), (2, "y", "q"), (3, "z", "r"), (4, "w", "s")], "k long, v string, w string")
+    b = spark.createDataFrame([(1, "X", "P"), (2, "Y", "q"), (3, "z", "r"), (4, "W", "s"), (4, "V", "s")], "k long, v string, w string")
+
+    def resolved(*rows):
+        return sorted(tuple(r) for r in joins.resolve_conflicts(a, b, ["k"], spark.createDataFrame(list(rows), "k long, column_name string, choice string")).collect())
+
+    rest = [(3, "z", "r"), (4, "w", "s")]
+    assert resolved((1, None, "compared"), (2, "v", "compared")) == [(1, "X", "P"), (2, "Y", "q"), *rest]
+    assert resolved((1, "v", "compared"), (1, "w", "current"), (2, None, "exclude")) == [(1, "X", "p"), *rest]
+    for wrong in ([(3, None, "compared")], [(4, None, "compared")], [(1, "k2", "compared")], [(1, None, "other")], [(1, "v", "compared")], [(1, None, "compared"), (1, None, "current")], [(1, None, "compared"), (1, "v", "current"), (1, "w", "current")], [(2, "v", "exclude"), (2, None, "current")]):
+        with pytest.raises(ValueError, match="don't fit"):
+            resolved(*wrong)
+
+
+def test_conflict_page(spark):
+    a = spark.createDataFrame([(k, "x", "y") for k in range(9)], "k long, v string, w string")
+    b = spark.createDataFrame([(k, "X", "Y") for k in range(9)], "k long, v string, w string")
+    assert [r["k"] for r in joins.conflict_page(a, b, ["k"], 3, 2).collect()] == [3, 3, 4, 4]
+
+
+def test_near_duplicates_keep_exact_copies(spark):
+    rows = [(0, "a  b", None), (1, "A b", None), (2, "a  b", None), (3, None, "x"), (4, None, "x"), (5, "", "x"), (6, "a", "bx"), (7, "ab", "x")]
+    df = spark.createDataFrame(rows, "_rid long, s string, t string")
+    assert sorted(r["_rid"] for r in cleaning.remove_near_duplicates(df).collect()) == [0, 2, 3, 4, 5, 6, 7]
+
+
+def test_preview_says_what_is_applied(spark):
+    from sievework.sources import samples
+
+    df = samples.gaps(spark, 60)
+    steps = {(r["step"], r["column_name"]): r["cells"] for r in cleaning.preview_safe_corrections(df).collect()}
+    assert steps["sentinels", "segment"] == 5 and steps["rename", "full name"] == 1 and ("trim", "segment") not in steps
+    assert any(s.startswith("cast to") and c == "since" for s, c in steps)
