@@ -123,9 +123,27 @@ def test_substrings(spark, block):
     assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_text"]) for x in got} == brute_substrings(rows)
     texts = {i: WORD.findall(t) for i, t in rows}
     for x in got:
-        for f in x["factors"]:  # every factor is there in its source
-            phrase = texts[x["doc_id"]][f["start"] : f["start"] + 13]
-            assert f["source"] < x["doc_id"] and any(texts[f["source"]][k : k + 13] == phrase for k in range(len(texts[f["source"]])))
+        for f in x["factors"]:  # the whole of every factor is there in its source, in one piece
+            n = f["stop"] - f["start"]
+            assert n >= 13 and f["source"] < x["doc_id"] and texts[f["source"]][f["source_start"] : f["source_start"] + n] == texts[x["doc_id"]][f["start"] : f["stop"]]
+
+
+def test_substring_factors_are_contiguous(spark):
+    """Two phrases of one document that stand apart there are two factors, not one."""
+    w = [f"w{i}" for i in range(14)]
+    rows = [(0, " ".join([*w[:13], "x", *w[1:]])), (1, " ".join(w))]
+    got = {x["doc_id"]: x for x in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [tuple(f) for f in got[1]["factors"]] == [(0, 13, 0, 0), (1, 14, 0, 14)] and got[1]["n_removed"] == 14
+
+
+def test_substring_places_packed():
+    r = np.random.default_rng(3)
+    docs = np.sort(r.integers(-50, 60, 400))
+    docs[-5:] = substrings.LAST_ID
+    places = r.integers(0, 2**31 - 1, 400)
+    for n in (0, 1, 400):
+        d, p = substrings.unpacked(substrings.packed(docs[:n], places[:n]))
+        assert (d == docs[:n]).all() and (p == places[:n]).all()
 
 
 # Decontamination
