@@ -2,15 +2,15 @@
 
 Two zstandard dictionaries are trained, one on text labelled good, one on text labelled bad. A whole text is cut into pieces of PIECE
 bytes, each compressed with either dictionary; the difference of the summed sizes, divided by the text's bytes, says which kind it is
-more like. A logistic curve fitted on further labelled rows turns it into a probability of label 1. A short text's difference says little:
-it counts with the weight bytes / (bytes + PRIOR_BYTES), and what is left of the curve is the classes' shares.
+more like. A short text's difference says little, so PRIOR_BYTES without a difference are added to each text. A logistic curve of this one number, fitted on further labelled rows, turns it into a probability of label 1.
 
-The fit takes a bounded sample of labelled rows (SAMPLE of each class, of each at most SAMPLE_CHARS characters for the dictionaries);
-scoring is row by row over whole texts and needs no shuffle. Labels of held-out rows, those whose crc32(doc_id as text) mod 5 is 0,
+The fit takes a bounded sample of labelled rows (SAMPLE of each class). Of a long one the dictionaries get PIECES pieces spread evenly over the whole text, of a shorter one all of it; the curve and
+scoring take whole texts, row by row and without a shuffle. Labels of held-out rows, those whose crc32(doc_id as text) mod 5 is 0,
 are never used. Labels, ids, lang and source are no inputs of a score.
 
-Defined cases: null and empty texts have weight 0 and get the curve's value there; a document with several labels has the smaller; with no
-usable labels of one class every score is that of the other (0 or 1), without any labels 0.5.
+Defined cases: null and empty texts have no difference and get the curve's value there; a document with several labels has the smaller; of rows that repeat a labelled doc_id the fit takes that with the smallest
+SHA-256 of its text; rows of the sample that tie by hash are taken by doc_id; repeated rows are scored alike; a very long text is scored piece by piece; with no usable labels of one class every score is that of the other
+(0 or 1), without any labels 0.5; an empty table gives no rows; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
-#: Rows of each class for the dictionaries and as many for the curve; characters of a row for the dictionaries; their bytes; bytes of a piece; zstandard's level.
-SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES, PIECE, LEVEL = 1500, 8192, 32 << 10, 512, 1
-#: Bytes at which a text's difference has half its weight.
+#: Rows of each class for the dictionaries and as many for the curve; pieces of a long text for the dictionaries; their bytes; bytes of a piece; zstandard's level.
+SAMPLE, PIECES, DICTIONARY_BYTES, PIECE, LEVEL = 1500, 16, 32 << 10, 512, 1
+#: Bytes without a difference that are added to each text.
 PRIOR_BYTES = 150
 #: Scores from here on are label 1.
 THRESHOLD = 0.3
@@ -40,16 +40,16 @@ def _compressor(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def evidence(text: str | None, good: bytes, bad: bytes) -> tuple[float, float]:
-    """How many bytes fewer a byte of text takes with the good dictionary, times the weight, and the weight."""
+def evidence(text: str | None, good: bytes, bad: bytes) -> float:
+    """How many bytes fewer a byte of text takes with the good dictionary, PRIOR_BYTES without a difference added."""
     data = (text or "").encode()
     if not data:
-        return 0.0, 0.0
+        return 0.0
     g, b, total = _compressor(good), _compressor(bad), 0
     for i in range(0, len(data), PIECE):
         piece = data[i : i + PIECE]
         total += len(b.compress(piece)) - len(g.compress(piece))
-    return total / (len(data) + PRIOR_BYTES), len(data) / (len(data) + PRIOR_BYTES)
+    return total / (len(data) + PRIOR_BYTES)
 
 
 @dataclass(frozen=True)
@@ -57,16 +57,15 @@ class QualityModel:
     good: bytes
     bad: bytes
     slope: float
-    level: float
     offset: float
 
     def score(self, text: Column) -> Column:
-        good, bad, slope, level, offset = self.good, self.bad, self.slope, self.level, self.offset
+        good, bad, slope, offset = self.good, self.bad, self.slope, self.offset
 
         @F.pandas_udf("double")
         def scored(texts: pd.Series) -> pd.Series:
-            x = np.array([evidence(t, good, bad) for t in texts]).reshape(-1, 2) if good else np.zeros((len(texts), 2))
-            return pd.Series(1 / (1 + np.exp(-np.clip(x @ (slope, level) + offset, -700, 700))))
+            x = np.array([evidence(t, good, bad) for t in texts], float) if good else np.zeros(len(texts))
+            return pd.Series(1 / (1 + np.exp(-np.clip(slope * x + offset, -700, 700))))
 
         return scored(text)
 
@@ -75,6 +74,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def spread_pieces(text: Column) -> Column:
+    """A text, or of one longer than PIECES pieces so many of PIECE characters, the first at its begin, the last at its end and the others evenly between."""
+    step = (F.length(text) - PIECE) / (PIECES - 1)
+    some = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(text, (F.floor(i * step) + 1).cast("int"), F.lit(PIECE))), "")
+    return F.when(F.length(text) <= PIECES * PIECE, text).otherwise(some)
+
+
 def _dictionary(texts: list[str]) -> bytes:
     pieces = [d[i : i + PIECE] for d in (t.encode() for t in texts) for i in range(0, len(d), PIECE)]
     try:
@@ -107,26 +113,27 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     prior = present.agg(F.avg("y").alias("p"), F.count("*").alias("n")).first()
     if not prior["n"] or prior["p"] in (0.0, 1.0):
         p = 0.5 if not prior["n"] else prior["p"]
-        return QualityModel(b"", b"", 0.0, 0.0, 0.0 if p == 0.5 else math.copysign(700.0, p - 0.5))
+        return QualityModel(b"", b"", 0.0, 0.0 if p == 0.5 else math.copysign(700.0, p - 0.5))
     chosen = present.filter("y = 0").orderBy("at", "doc_id").limit(2 * sample).unionAll(present.filter("y = 1").orderBy("at", "doc_id").limit(2 * sample))
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    picked = written(picked.dropDuplicates(["doc_id"]), "quality-sample")
+    picked = picked.groupBy("doc_id", "y", "at").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
+    picked = written(picked, "quality-sample")
     # every other row of a class in the order of its hash: one half for the dictionaries, one for the curve
-    rows = picked.select("doc_id", "y", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "at").filter(F.col("at") % 2 == 0).orderBy("at", "doc_id").toPandas()
+    rows = picked.select("doc_id", "y", spread_pieces(F.col("text")).alias("text"), "at").filter(F.col("at") % 2 == 0).orderBy("at", "doc_id").toPandas()
     good, bad = (_dictionary(rows.text[rows.y == y].tolist()) for y in (1, 0))
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("double")
     def weighed(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(evidence(t, good, bad)) for t in texts])
+        return pd.Series([evidence(t, good, bad) for t in texts], dtype=float)
 
     curve = picked.filter(F.col("at") % 2 != 0).select("y", weighed("text").alias("x")).toPandas()
     if curve.y.nunique() < 2:
         curve = pd.DataFrame({"y": rows.y, "x": [evidence(t, good, bad) for t in rows.text]})
-    slope, level, offset = map(float, logistic(np.array(curve.x.tolist()), curve.y.to_numpy().astype(float)))
+    slope, offset = map(float, logistic(np.array(curve.x.tolist(), float)[:, None], curve.y.to_numpy().astype(float)))
     # the sample takes as many rows of either class: back to the share that the labels have
     share = curve.y.mean()
     offset += math.log(prior["p"] / (1 - prior["p"])) - (math.log(share / (1 - share)) if 0 < share < 1 else 0.0)
-    return QualityModel(good, bad, slope, level, offset)
+    return QualityModel(good, bad, slope, offset)
 
 
 def score_documents(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,4 +144,5 @@ def score_documents(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id"
 
 def keep_good(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
     """docs that the model predicts as label 1; all columns."""
-    return docs.withColumn("_sw_score", model.score(F.col(text))).filter(F.col("_sw_score") >= THRESHOLD).drop("_sw_score")
+    score = fresh(docs, "score")
+    return docs.withColumn(score, model.score(F.col(text))).filter(F.col(score) >= THRESHOLD).drop(score)

@@ -181,6 +181,38 @@ def test_leaks_planted(spark):
         assert got == want
 
 
+def test_leaks_against_all_offsets(spark, data):
+    """Every document against every passage at every offset: a span of 13 words or more, four in five of them equal, is found; what is found is such a span. Documents with several passages and parts of them too."""
+    r = random.Random(14)
+    items = [(x["item_id"], leaks.words_of(x["text"])) for x in load(spark, data, "benchmark").collect()][:25]
+    docs = []
+    for d in range(120):
+        text = [b"q%d" % r.randrange(5000) for _ in range(r.randrange(20, 90))]
+        for _ in range(r.randrange(3)):
+            w = r.choice(items)[1]
+            n = r.randrange(8, len(w) + 1)
+            s = r.randrange(len(w) - n + 1)
+            part = [b"z" if r.random() < r.choice([0, 0.1, 0.25]) else x for x in w[s : s + n]]
+            at = r.randrange(len(text))
+            text[at:at] = part
+        docs.append((d, text))
+    found = collections.defaultdict(list)
+    table = spark.createDataFrame([(i, b" ".join(w).decode()) for i, w in items], "item_id long, text string")
+    for x in leaks.find_leaks(spark.createDataFrame([(d, b" ".join(t).decode()) for d, t in docs], "doc_id long, text string"), table).collect():
+        found[x["doc_id"], x["item_id"]].append((x["start"], x["start"] + x["n_words"], x["n_equal"]))
+    for d, text in docs:
+        for i, w in items:
+            for s, e, n in found[d, i]:
+                assert e - s >= 13 and n >= 0.8 * (e - s)
+                assert any(sum(a == b for a, b in zip(text[s:e], w[o : o + e - s], strict=False)) == n for o in range(len(w) - (e - s) + 1))
+            for offset in range(-len(w) + 13, len(text) - 12):
+                lo, hi = max(0, offset), min(len(text), offset + len(w))
+                equal = np.array([text[k] == w[k - offset] for k in range(lo, hi)])
+                for k in range(len(equal) - 12):  # the guarantee: 13 words with up to two substitutions, both ends equal
+                    if equal[k] and equal[k + 12] and equal[k : k + 13].sum() >= 11:
+                        assert any(s <= lo + k + 12 and lo + k < e for s, e, _ in found[d, i])
+
+
 # Quality
 
 
@@ -202,9 +234,113 @@ def test_quality_ignores_held_out_labels(spark):
     assert quality.fit(docs, labels) == quality.fit(docs, other)
 
 
+def test_quality_by_hand(spark):
+    """The whole of op4 fitted and scored again in plain Python: sample, dictionaries, curve, prior."""
+    import zlib
+
+    import zstandard
+
+    sf = "/root/testdata/sf0.01"
+    got = {x["doc_id"]: x for x in QUERIES["op4_quality"](spark, sf).collect()}
+    docs = pd.read_parquet(f"{sf}/documents.parquet")
+    texts = {int(i): t or "" for i, t in zip(docs.doc_id, docs.text, strict=True)}
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    labels = pd.read_parquet(f"{sf}/labels.parquet")
+    known = {int(i): int(y) for i, y in zip(labels.doc_id, labels.quality, strict=True) if not out(i) and int(i) in texts}
+    at = {i: np.uint64(xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 42)).astype(np.int64) for i in known}
+    order = sorted(known, key=lambda i: (at[i], i))
+    chosen = [i for y in (0, 1) for i in [j for j in order if known[j] == y][:3000]]
+
+    def spread(t):
+        step = (len(t) - 512) / 15
+        return t if len(t) <= 8192 else "".join(t[int(i * step) : int(i * step) + 512] for i in range(16))
+
+    def trained(y):
+        pieces = [d[k : k + 512] for d in (spread(texts[i]).encode() for i in sorted(chosen, key=lambda i: (at[i], i)) if known[i] == y and at[i] % 2 == 0) for k in range(0, len(d), 512)]
+        return zstandard.ZstdCompressor(level=1, dict_data=zstandard.train_dictionary(min(32 << 10, max(256, sum(map(len, pieces)) // 4)), pieces), write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    good, bad = trained(1), trained(0)
+
+    def difference(t):
+        d = t.encode()
+        return sum(len(bad.compress(d[k : k + 512])) - len(good.compress(d[k : k + 512])) for k in range(0, len(d), 512)) / (len(d) + 150) if d else 0.0
+
+    half = [i for i in chosen if at[i] % 2]
+    x, y = np.array([difference(texts[i]) for i in half]), np.array([known[i] for i in half], float)
+    spread_x, w, b = x.std(), 0.0, 0.0
+    for _ in range(200):  # Newton's steps for one weight and the offset, with the same small ridge
+        p = 1 / (1 + np.exp(-(w * x / spread_x + b)))
+        v = p * (1 - p)
+        h = np.array([[(v * x * x).sum() / spread_x**2 + 1e-3, (v * x).sum() / spread_x], [(v * x).sum() / spread_x, v.sum() + 1e-3]])
+        w, b = np.array([w, b]) + np.linalg.solve(h, [((y - p) * x).sum() / spread_x - 1e-3 * w, (y - p).sum() - 1e-3 * b])
+    share, prior = y.mean(), np.mean(list(known.values()))
+    b += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        want = 1 / (1 + np.exp(-(w / spread_x * difference(t) + b)))
+        assert abs(got[i]["score"] - want) < 1e-6 and got[i]["held_out"] == out(i) and got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+
+
 # URLs
 
 
+def test_urls_by_hand(spark, data):
+    """The whole of op6 in plain Python: word counts, splits, class counts, verdicts."""
+    import regex
+
+    pages = pd.read_parquet(f"{data}/pages.parquet")
+    counts = collections.Counter()
+    for h in pages.html:
+        counts.update(w for w in regex.split(r"[^\p{L}]+", re.sub("<[^>]*>", " ", h or "").lower()) if 0 < len(w) <= 24)
+    total = sum(counts.values())
+
+    def split(label):
+        best = [(0.0, [])]
+        for e in range(1, len(label) + 1):
+            each = []
+            for s in range(max(0, e - 24), e):
+                n = counts.get(label[s:e])
+                each.append((best[s][0] + (np.log(total) - np.log(n) if n else np.log(total) + (e - s) * np.log(10)), s))
+            cost, s = min(each)
+            best.append((cost, [*best[s][1], label[s:e]]))
+        return best[-1][1]
+
+    def tokens(host, path):
+        out = []
+        for part in re.split(r"[.\-_:@]+", host):
+            for run in re.findall(r"\d+|\D+", part):
+                out += ["h:0"] if run.isdecimal() else ["h:" + w for w in split(run)]
+        return out + ["p:0" if run[0].isdecimal() else "p:" + run for run in re.findall(r"\d+|[^\W\d_]+", path.lower())]
+
+    judged = {}
+    for i, url in zip(pages.page_id, pages.url, strict=True):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(h + p), h + p, v) for v, h, p in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        judged[int(i)] = host, path, max(fits) if fits else None, tokens(host, path)
+    classes = collections.Counter(r[2] for _, _, r, _ in judged.values() if r)
+    words = {c: collections.Counter(t for _, _, r, ts in judged.values() if r and r[2] == c for t in ts) for c in classes}
+    size = len({t for c in words.values() for t in c}) + 1
+
+    def odds(ts):
+        out = np.log(classes["block"]) - np.log(classes["allow"])
+        for t in ts:
+            out += np.log((words["block"][t] + 1) / (sum(words["block"].values()) + size)) - np.log((words["allow"][t] + 1) / (sum(words["allow"].values()) + size))
+        return out
+
+    got = {x["page_id"]: x for x in QUERIES["op6_url_filter"](spark, data).collect()}
+    assert set(got) == set(judged) and set(classes) == {"allow", "block"}
+    for i, (host, path, rule, ts) in judged.items():
+        x = got[i]
+        assert (x["host"], x["path"], x["rule"]) == (host, path, rule and rule[1])
+        if rule:
+            assert x["verdict"] == rule[2] and x["score"] is None
+        else:
+            assert abs(x["score"] - odds(ts)) < 1e-9 and x["verdict"] == ("block" if x["score"] > 0 else "allow")
+
+
 def test_url_parts_and_rules(spark):
     def brute(url):
         host = path = ""
