@@ -2,13 +2,13 @@
 
 Two zstandard dictionaries are trained, one on text labelled good, one on text labelled bad. A whole text is cut into pieces of PIECE
 bytes, each compressed with either dictionary; the difference of the summed sizes, divided by the text's bytes, says which kind it is
-more like. A short text's difference says little, so PRIOR_BYTES without a difference are added to each text. A logistic curve of this one number, fitted on further labelled rows, turns it into a probability of label 1.
+more like. A short text's difference says little, so PRIOR_BYTES with the difference that good text has on average are added to each. A logistic curve of this one number, fitted on further labelled rows, turns it into a probability of label 1.
 
 The fit takes a bounded sample of labelled rows (SAMPLE of each class). Of a long one the dictionaries get PIECES pieces spread evenly over the whole text, of a shorter one all of it; the curve and
 scoring take whole texts, row by row and without a shuffle. Labels of held-out rows, those whose crc32(doc_id as text) mod 5 is 0,
 are never used. Labels, ids, lang and source are no inputs of a score.
 
-Defined cases: null and empty texts have no difference and get the curve's value there; a document with several labels has the smaller; of rows that repeat a labelled doc_id the fit takes that with the smallest
+Defined cases: null and empty texts have the average difference of good text and get the curve's value there; a document with several labels has the smaller; of rows that repeat a labelled doc_id the fit takes that with the smallest
 SHA-256 of its text; rows of the sample that tie by hash are taken by doc_id; repeated rows are scored alike; a very long text is scored piece by piece; with no usable labels of one class every score is that of the other
 (0 or 1), without any labels 0.5; an empty table gives no rows; other columns don't matter, whatever their names.
 """
@@ -29,7 +29,7 @@ from .common import fresh, written
 
 #: Rows of each class for the dictionaries and as many for the curve; pieces of a long text for the dictionaries; their bytes; bytes of a piece; zstandard's level.
 SAMPLE, PIECES, DICTIONARY_BYTES, PIECE, LEVEL = 1500, 16, 32 << 10, 512, 1
-#: Bytes without a difference that are added to each text.
+#: Bytes of average good text that each text is taken with.
 PRIOR_BYTES = 150
 #: Scores from here on are label 1.
 THRESHOLD = 0.3
@@ -40,31 +40,37 @@ def _compressor(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def evidence(text: str | None, good: bytes, bad: bytes) -> float:
-    """How many bytes fewer a byte of text takes with the good dictionary, PRIOR_BYTES without a difference added."""
+def evidence(text: str | None, good: bytes, bad: bytes) -> tuple[int, int]:
+    """How many bytes fewer a text takes with the good dictionary, and its bytes."""
     data = (text or "").encode()
     if not data:
-        return 0.0
+        return 0, 0
     g, b, total = _compressor(good), _compressor(bad), 0
     for i in range(0, len(data), PIECE):
         piece = data[i : i + PIECE]
         total += len(b.compress(piece)) - len(g.compress(piece))
-    return total / (len(data) + PRIOR_BYTES)
+    return total, len(data)
+
+
+def normalised(sizes: np.ndarray, mean: float) -> np.ndarray:
+    """The difference of a byte of each text, taken with PRIOR_BYTES whose difference is mean. sizes: rows of evidence()."""
+    return (sizes[:, 0] + PRIOR_BYTES * mean) / (sizes[:, 1] + PRIOR_BYTES)
 
 
 @dataclass(frozen=True)
 class QualityModel:
     good: bytes
     bad: bytes
+    mean: float
     slope: float
     offset: float
 
     def score(self, text: Column) -> Column:
-        good, bad, slope, offset = self.good, self.bad, self.slope, self.offset
+        good, bad, mean, slope, offset = self.good, self.bad, self.mean, self.slope, self.offset
 
         @F.pandas_udf("double")
         def scored(texts: pd.Series) -> pd.Series:
-            x = np.array([evidence(t, good, bad) for t in texts], float) if good else np.zeros(len(texts))
+            x = normalised(np.array([evidence(t, good, bad) for t in texts], float).reshape(-1, 2), mean) if good else np.zeros(len(texts))
             return pd.Series(1 / (1 + np.exp(-np.clip(slope * x + offset, -700, 700))))
 
         return scored(text)
@@ -113,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     prior = present.agg(F.avg("y").alias("p"), F.count("*").alias("n")).first()
     if not prior["n"] or prior["p"] in (0.0, 1.0):
         p = 0.5 if not prior["n"] else prior["p"]
-        return QualityModel(b"", b"", 0.0, 0.0 if p == 0.5 else math.copysign(700.0, p - 0.5))
+        return QualityModel(b"", b"", 0.0, 0.0, 0.0 if p == 0.5 else math.copysign(700.0, p - 0.5))
     chosen = present.filter("y = 0").orderBy("at", "doc_id").limit(2 * sample).unionAll(present.filter("y = 1").orderBy("at", "doc_id").limit(2 * sample))
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     picked = picked.groupBy("doc_id", "y", "at").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
@@ -122,18 +128,21 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = picked.select("doc_id", "y", spread_pieces(F.col("text")).alias("text"), "at").filter(F.col("at") % 2 == 0).orderBy("at", "doc_id").toPandas()
     good, bad = (_dictionary(rows.text[rows.y == y].tolist()) for y in (1, 0))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("array<double>")
     def weighed(texts: pd.Series) -> pd.Series:
-        return pd.Series([evidence(t, good, bad) for t in texts], dtype=float)
+        return pd.Series([list(map(float, evidence(t, good, bad))) for t in texts])
 
     curve = picked.filter(F.col("at") % 2 != 0).select("y", weighed("text").alias("x")).toPandas()
     if curve.y.nunique() < 2:
         curve = pd.DataFrame({"y": rows.y, "x": [evidence(t, good, bad) for t in rows.text]})
-    slope, offset = map(float, logistic(np.array(curve.x.tolist(), float)[:, None], curve.y.to_numpy().astype(float)))
+    sizes = np.array([list(x) for x in curve.x], float)
+    total, size = sizes[curve.y.to_numpy() == 1].sum(axis=0)
+    mean = float(total / max(size, 1))
+    slope, offset = map(float, logistic(normalised(sizes, mean)[:, None], curve.y.to_numpy().astype(float)))
     # the sample takes as many rows of either class: back to the share that the labels have
     share = curve.y.mean()
     offset += math.log(prior["p"] / (1 - prior["p"])) - (math.log(share / (1 - share)) if 0 < share < 1 else 0.0)
-    return QualityModel(good, bad, slope, offset)
+    return QualityModel(good, bad, mean, slope, offset)
 
 
 def score_documents(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -263,10 +263,13 @@ def test_quality_by_hand(spark):
 
     def difference(t):
         d = t.encode()
-        return sum(len(bad.compress(d[k : k + 512])) - len(good.compress(d[k : k + 512])) for k in range(0, len(d), 512)) / (len(d) + 150) if d else 0.0
+        return sum(len(bad.compress(d[k : k + 512])) - len(good.compress(d[k : k + 512])) for k in range(0, len(d), 512))
 
     half = [i for i in chosen if at[i] % 2]
-    x, y = np.array([difference(texts[i]) for i in half]), np.array([known[i] for i in half], float)
+    y = np.array([known[i] for i in half], float)
+    mean = sum(difference(texts[i]) for i in half if known[i]) / sum(len(texts[i].encode()) for i in half if known[i])
+    number = lambda t: (difference(t) + 150 * mean) / (len(t.encode()) + 150)
+    x = np.array([number(texts[i]) for i in half])
     spread_x, w, b = x.std(), 0.0, 0.0
     for _ in range(200):  # Newton's steps for one weight and the offset, with the same small ridge
         p = 1 / (1 + np.exp(-(w * x / spread_x + b)))
@@ -277,7 +280,7 @@ def test_quality_by_hand(spark):
     b += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
     assert set(got) == set(texts)
     for i, t in texts.items():
-        want = 1 / (1 + np.exp(-(w / spread_x * difference(t) + b)))
+        want = 1 / (1 + np.exp(-(w / spread_x * number(t) + b)))
         assert abs(got[i]["score"] - want) < 1e-6 and got[i]["held_out"] == out(i) and got[i]["predicted"] == int(got[i]["score"] >= 0.3)
 
 
