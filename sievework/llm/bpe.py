@@ -9,7 +9,8 @@ Appending bytes only continues the table; an edit keeps the table before it.
 A piece is a match of the split pattern. As the library does, a piece that is itself in the vocabulary is that token. Pieces repeat and
 begin alike, so each worker keeps the last tokens of the short prefixes it met, and the encodings of whole pieces, in bounded dictionaries.
 
-Defined cases: a null text is empty and has no tokens; a null doc_id stays null; an empty table gives no rows.
+Defined cases: a null text is empty and has no tokens; a null doc_id stays null; repeated rows are encoded alike, each for itself; there are no ties, as each prefix has one valid last token; a very long text, or a
+very long piece of it, is encoded in time in proportion to its bytes, alone in its slice; an empty table gives no rows; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations

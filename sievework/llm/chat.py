@@ -16,7 +16,8 @@ identical to the source the escaped rendering is taken. The whole conversation i
 
 Defined cases: a null text or role counts as empty; turns are ordered by turn (null first), then role, then text, so that ties and
 repeated rows have one order; a null conv_id is a conversation of its own; an empty table gives no rows. A conversation is one
-training example and so one value: its turns meet in one row, however many they are.
+training example and so one value: its turns meet in one row, however many they are. A very long text is read by the same expressions, in time in proportion to it. Other columns don't matter, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -10,6 +10,9 @@ Only distinct fingerprints are indexed, so copies cost nothing. Counts, smallest
 the shuffle; a key with two fingerprints is that pair. Keys with up to CROWD fingerprints are compared pairwise; in a larger key each
 fingerprint names all fingerprints within one bit of it, among the bits that the key leaves free. Two fingerprints are within two bits
 if and only if they name a common one, and those that name one are all linked, so each is linked to the smallest: as many rows as fingerprints times a constant, and no link is lost.
+
+Defined cases are with near_duplicates and one_of_each; besides, a very long text is hashed a bounded number of shingles at a time, a bit that is set in exactly half the shingles (a tie) is 0, and other columns don't
+matter, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ workers need memory for the distinct words of all hosts and of the undecided pag
 
 Defined cases: a null url or one without "://" has an empty host and path, which no rule fits; with no words to go by the classes'
 shares decide, a tie is allowed; if the rules decide no page, everything else is allowed; rows are judged one by one, so repeated rows
-are judged alike; an empty table gives no rows.
+are judged alike; a very long label is split in time in proportion to its length; an empty table gives no rows; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations

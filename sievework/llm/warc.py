@@ -7,7 +7,8 @@ every digest anew, so neither a collision nor a damaged payload goes unseen.
 
 Defined cases: a null payload is empty; a null url is an empty target; line ends in a url are percent-encoded; rows that repeat a
 page_id with the same payload are written each, as records of that page; a null page_id never is the first of its copies unless all
-are null; an empty table gives empty tables.
+are null; of equal payloads that tie for the smallest page_id (repeated rows) one brings the bytes; a very long payload is one value, hashed and compared like any other; an empty table gives empty tables;
+other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations

@@ -109,3 +109,33 @@ def test_edge_turns(spark):
     assert read[None]["loss_text"] == "b" and read[3]["loss_text"] == ""
     assert chat.format_chats(turns.limit(0)).count() == 0
     assert not {"plain_ok", "head"} & set(chat.format_chats(turns).columns)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """The five stages as a pipeline: nulls, repeated rows, a very long text, clashing columns; and each table empty in turn."""
+    import corpus_pipeline
+
+    def run(name, d, la, b):
+        path = f"{tmp_path}/{name}"
+        for table, df in (("documents", d), ("labels", la), ("benchmark", b)):
+            df.write.parquet(f"file://{path}/{table}.parquet")
+        return corpus_pipeline.run(spark, f"file://{path}").collect()
+
+    d, la, b = docs(spark), labels(spark), benchmark(spark)
+    passage = benchmark(spark, ((1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"),))
+    # without labels all stay in the first stage
+    kept = run("a", d, la.limit(0), passage)
+    # of the three texts of the twenty words, which are alike, the one with the null id; of those without words the smallest id
+    assert {r["doc_id"] for r in kept} == {None, 4, 6, 8} and len(kept) == 4
+    assert len(run("b", d, la, b.limit(0))) <= 4
+    assert run("c", d.limit(0), la, b) == []
+    assert len(run("d", d, la.limit(0), b)) < len(kept)  # those with the passage go
+
+
+def test_very_long_chat_and_url(spark):
+    long = "### </turn> x " * 20000
+    read = chat.read_chats(chat.format_chats(spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string"))).first()
+    assert read["round_trip"] and read["loss_text"] == long
+    pages = spark.createDataFrame([(1, "http://" + "ab" * 3000 + ".com/" + "x/" * 5000, "ab " * 50000)], "page_id long, url string, html string")
+    model = urls.fit_classes(pages, urls.fit_words(pages), [])
+    assert urls.judge_urls(pages, model, []).first()["verdict"] == "allow"
