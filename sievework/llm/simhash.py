@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, digest_of, slices, without, written
+from .common import checked_broadcast, digest_of, forget, slices, without, written
 from .graph import components
 
 SEGMENTS, CROWD, SEED = 6, 32, 42
@@ -183,4 +183,5 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     first = members.groupBy("root").agg(F.min(F.struct("id", "node", "digest")).alias("first"))
     gone = members.join(first, "root").filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))))
     gone = written(gone.select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct(), "near-gone")
+    forget(told, *([single] if hasattr(single, "sievework_path") else []))
     return without(docs, gone, doc_id, text)
