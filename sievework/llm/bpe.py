@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import CACHES, slices
 
 #: Entries in a worker's dictionaries of pieces, prefixes and pairs; bytes of a prefix that is kept.
 MEMORY, SHORT = 300_000, 40
@@ -236,6 +236,8 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(ranks_of(path), pattern)
 
 
+CACHES.append(codec.cache_clear)
+
 CODED = "doc_id {kind}, ids binary, decoded binary"
 
 

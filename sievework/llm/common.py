@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +18,15 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that a Python worker handles at once.
 CHUNK_BYTES = 4 << 20
+#: What empties the caches that a Python worker keeps from task to task, of the operators that it has run.
+CACHES: list[Callable[[], None]] = []
+
+
+def empty_caches() -> None:
+    """For a task that shares its worker, and so its memory, with earlier ones of other operators."""
+    for empty in CACHES:
+        empty()
+    gc.collect()
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -61,6 +71,12 @@ def forget(*tables: DataFrame) -> None:
         system.delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the shuffle files of queries that have ended, as Spark does whenever the driver's JVM happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows, else as it is, so that the join shuffles. df should be a written table of narrow rows: it is counted."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -672,3 +672,34 @@ def test_queries_are_registered():
     import __spark_entry__
 
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in __spark_entry__.queries()} and "pipeline" in __spark_entry__.queries()
+
+
+def test_sketches_bound_overlaps():
+    r = np.random.default_rng(3)
+    for k in range(60):
+        pool = r.integers(0, 1 << 63, 400).astype(np.uint64) << np.uint64(k % 2) | (r.integers(0, 3, 400).astype(np.uint64) << np.uint64(48))
+        pool = pool if k % 3 else r.integers(0, 400, 400).astype(np.uint64)  # all of one upper part
+        a, b = (np.unique(r.choice(pool, int(r.integers(1, 300)))) for _ in range(2))
+        x, y = (similar.marks(similar.sketch(s)) for s in (a, b))
+        assert len(np.unique(x)) == len(a) and len(similar.sketch(b)) == 2 * len(b)
+        assert len(np.intersect1d(a, b)) <= len(np.intersect1d(x, y)) <= min(len(a), len(b))
+
+
+def test_loose_copies_send_no_whole_sets(spark, monkeypatch):
+    """Of a crowded group of loose copies, whole sets are made of those only that are alike."""
+    r, made, write = np.random.default_rng(5), {}, similar.written
+
+    def recorded(df, name):
+        out = write(df, name)
+        made[name] = made.get(name, 0) + (out.count() if name in ("sketches", "shingle-sets") else 0)
+        return out
+
+    monkeypatch.setattr(similar, "written", recorded)
+    monkeypatch.setattr(similar, "FEW", 4)
+    base = [f"w{i}" for i in range(60)]
+    docs = [base[:24] + [f"u{i}x{j}" for j in range(12)] for i in range(30)]  # 20 of 32 shingles in common: a similarity of 0.45
+    docs += [docs[7][:-1] + ["end"], docs[9][:-2]]
+    kept = simhash.one_of_each(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(3)).collect()
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in docs]
+    assert sorted(x["doc_id"] for x in kept) == [i for i in range(32) if not any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(i))] == list(range(30))
+    assert made["sketches"] > 8 and made["shingle-sets"] <= 8
