@@ -71,15 +71,21 @@ ORDERS = {
     "iso8601": (r"^([0-9]{4})-([0-9]{2})-([0-9]{2})$", (1, 2, 3)),
 }
 TIME = r"(?:[T ]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:\.([0-9]{1,9}))?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)"
+#: A time of day that leaves the date as it is.
+CLOCK = r"(?:[T ](?:[01][0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9](?:\.[0-9]{1,9})?)?Z?)?"
 
 
 def strict_date(c: Column, order: str) -> Column:
     """A date with a four-digit year; iso8601 takes the date of a date-time too."""
     pattern, (y, m, d) = ORDERS[order]
     t = trim(c)
+    plain = pattern[:-1] + CLOCK + "$" if order == "iso8601" else pattern
+    read = F.when(F.rlike(t, F.lit(plain)), _date(*(F.regexp_extract(t, plain, g) for g in (y, m, d))))
     if order == "iso8601":
-        t = F.when(F.rlike(t, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}" + TIME + "$")), strict_datetime(c, order).cast("date").cast("string")).otherwise(t)
-    return F.when(F.rlike(t, F.lit(pattern)), _date(*(F.regexp_extract(t, pattern, g) for g in (y, m, d))))
+        # the date-time's expression is large and is there once, so that Spark can compile the whole; a zone may move its date out of the four-digit years
+        moved = F.regexp_extract(strict_datetime(c, order).cast("date").cast("string"), r"^([0-9]{4}-[0-9]{2}-[0-9]{2})$", 1).try_cast("date")
+        read = read.when(F.rlike(t, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}" + TIME + "$")), moved)
+    return read
 
 
 def strict_datetime(c: Column, order: str) -> Column:
