@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import CACHES, slices
 
 #: Entries in a worker's dictionaries of pieces, prefixes and pairs; bytes of a prefix that is kept.
-MEMORY, SHORT = 300_000, 40
+MEMORY, SHORT = 150_000, 40
 NEVER = 1 << 60
 
 
