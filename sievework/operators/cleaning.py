@@ -296,18 +296,18 @@ def report(before: DataFrame, after: DataFrame, order: str = RID) -> Report:
 
 
 def _full_casts(df: DataFrame) -> dict[str, Column]:
-    """The text columns of which every value converts, with the converted column."""
+    """The text columns of which every value converts, with the converted column. Leading zeros keep codes from becoming numbers; a day or month may have one."""
     from .profile import DATE_FORMATS, read_date
 
     names = [c for c in text_columns(df) if privacy_signal(c) != "identifier"]
     tests = {c: [P.strict_long(quoted(c)).isNotNull(), P.exact_number(quoted(c)).isNotNull(), P.leading_zero_code(quoted(c)), *[read_date(quoted(c), f).isNotNull() for f in DATE_FORMATS]] for c in names}
     new = {}
     for c, (n, (longs, doubles, codes, *dates)) in _shares(df, tests).items():
-        if not n or codes:
+        if not n:
             continue
-        if longs == n:
+        if longs == n and not codes:
             new[c] = P.strict_long(quoted(c))
-        elif doubles == n:
+        elif doubles == n and not codes:
             new[c] = P.strict_double(quoted(c))
         elif n in dates:
             new[c] = read_date(quoted(c), DATE_FORMATS[dates.index(n)])

@@ -340,3 +340,11 @@ def test_preview_says_what_is_applied(spark):
     steps = {(r["step"], r["column_name"]): r["cells"] for r in cleaning.preview_safe_corrections(df).collect()}
     assert steps["sentinels", "segment"] == 5 and steps["rename", "full name"] == 1 and ("trim", "segment") not in steps
     assert any(s.startswith("cast to") and c == "since" for s, c in steps)
+
+
+def test_leading_zeros_keep_numbers_and_not_dates(spark):
+    """A code stays text, of eight digits too if one isn't a date; a column of which every value is a date is cast, whatever its days begin with."""
+    df = spark.createDataFrame([("02/01/2024", "0012", "02012024"), ("15/01/2024", "12", "20240115")], "since string, code string, eight string")
+    fixed = cleaning.safe_corrections(df)
+    assert {c: t for c, t in fixed.dtypes if c != "_rid"} == {"since": "timestamp_ntz", "code": "string", "eight": "string"}
+    assert sorted((r["since"].date().isoformat(), r["code"]) for r in fixed.collect()) == [("2024-01-02", "0012"), ("2024-01-15", "12")]
