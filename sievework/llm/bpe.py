@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, slices
+from .common import CACHES, lean, slices
 
 #: Entries in a worker's dictionaries of pieces, prefixes and pairs; bytes of a prefix that is kept.
 MEMORY, SHORT = 150_000, 40
@@ -252,7 +252,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_i
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([c.decode(i) for i in ids], pa.binary())], ["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, CODED.format(kind=rows.schema["doc_id"].dataType.simpleString()))
+    return rows.mapInArrow(lean(run), CODED.format(kind=rows.schema["doc_id"].dataType.simpleString()))
 
 
 def decode(rows: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:

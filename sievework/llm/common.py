@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import os
 import re
@@ -29,6 +31,29 @@ def empty_caches() -> None:
     gc.collect()
 
 
+#: glibc's way to give freed memory back to the system; other C libraries lack it.
+MALLOC_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def hand_back() -> None:
+    """Gives the memory that this process has freed back to the system: two Python workers, which outlive their tasks, share an executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if MALLOC_TRIM:
+        MALLOC_TRIM(0)
+
+
+def lean(run: Callable) -> Callable:
+    """run, a function from batches to batches, that hands memory back before its first batch and after its last."""
+
+    @functools.wraps(run)
+    def of(batches):
+        hand_back()
+        yield from run(batches)
+        hand_back()
+
+    return of
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share. The session's spark.checkpoint.dir; only in a local session, as in tests, one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -72,9 +97,14 @@ def forget(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes the shuffle files of queries that have ended, as Spark does whenever the driver's JVM happens to collect its garbage."""
+    """Deletes the shuffle files of queries that have ended, as Spark does whenever the driver's JVM happens to collect its garbage; then the executors' JVMs collect theirs, which makes them return
+    the heap they don't need. Tasks are dealt to all free cores in turn, so each idle executor gets some; results never depend on it."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    context = spark.sparkContext
+    context._jvm.System.gc()
+    if not re.match(r"local(\[|$)", context.master):
+        n = context.defaultParallelism
+        spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc')").collect()
 
 
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -131,7 +161,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         total += n
     if start < batch.num_rows:
         yield batch.slice(start)
-    pa.default_memory_pool().release_unused()  # Arrow keeps what earlier batches took; two workers share an executor's memory with the JVM
+    hand_back()  # Arrow and malloc keep what earlier batches took
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

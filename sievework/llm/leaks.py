@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest_of, slices, without, written
+from .common import digest_of, lean, slices, without, written
 from .words import Hashes, hashed, windows
 
 #: Masks, 1 for the positions that count. Found by a random search for the two guarantees above; tests check them.
@@ -156,7 +156,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     for b in range(blocks):
         table = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toArrow()
         shared = spark.sparkContext.broadcast((Block(table.column("text").to_pylist()), table.column("item_id").combine_chunks()))
-        found.append(rows.mapInArrow(_searched(shared), LEAKS.format(**kinds)))
+        found.append(rows.mapInArrow(lean(_searched(shared)), LEAKS.format(**kinds)))
     return reduce(DataFrame.unionAll, found).distinct()
 
 

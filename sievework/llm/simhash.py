@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, digest_of, forget, slices, without, written
+from .common import checked_broadcast, digest_of, forget, lean, slices, without, written
 from .graph import components
 
 SEGMENTS, CROWD, SEED = 6, 32, 42
@@ -163,7 +163,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     body = docs.select(F.col(doc_id).alias("id"), digest_of(F.col(text)).alias("digest"), F.col(text).alias("text"))
     prefixes = prefix_column(frequent(body), docs.sparkSession, least)
     kind = body.schema["id"].dataType.simpleString()
-    told = body.mapInArrow(_described(prefixes, size), f"id {kind}, digest binary, fp long, n int, prefix array<long>").withColumn("node", F.monotonically_increasing_id())
+    told = body.mapInArrow(lean(_described(prefixes, size)), f"id {kind}, digest binary, fp long, n int, prefix array<long>").withColumn("node", F.monotonically_increasing_id())
     told = written(told, "near-rows")
     # the fingerprints' links, between the first rows of each; and every row to the first of its fingerprint
     fps = written(told.groupBy("fp").agg(F.min("node").alias("first")), "distinct-fingerprints")

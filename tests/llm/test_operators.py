@@ -703,3 +703,42 @@ def test_loose_copies_send_no_whole_sets(spark, monkeypatch):
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in docs]
     assert sorted(x["doc_id"] for x in kept) == [i for i in range(32) if not any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(i))] == list(range(30))
     assert made["sketches"] > 8 and made["shingle-sets"] <= 8
+
+
+def test_memory_is_handed_back(spark):
+    """What a task freed goes back to the system though a later allocation lies above it, and every executor's JVM collects its garbage at a release."""
+    from types import SimpleNamespace
+
+    from sievework.llm import common
+
+    def resident():
+        return int(re.search(r"Pss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+    seen = []
+
+    def run(batches):
+        held = [b"x" * 2000 + bytes([i % 256]) for i in range(100_000)]
+        seen.append(held[-1])  # stays, and keeps malloc from giving up what is below it
+        seen.append(resident())
+        del held
+        yield from batches
+
+    assert list(common.lean(run)([1, 2])) == [1, 2]
+    assert resident() < seen[1] - 150
+
+    management = spark.sparkContext._jvm.java.lang.management.ManagementFactory
+    collected = lambda: sum(b.getCollectionCount() for b in management.getGarbageCollectorMXBeans())
+    context = SimpleNamespace(master="spark://host:7077", _jvm=spark.sparkContext._jvm, defaultParallelism=3)
+    before = collected()
+    common.release(SimpleNamespace(sparkContext=context, range=spark.range))
+    assert collected() >= before + 4  # the driver's own, and one of each task
+
+
+def test_pipeline_stages_release_before_python_work(spark, data, monkeypatch):
+    import corpus_pipeline
+
+    docs, calls = load(spark, data, "documents"), []
+    monkeypatch.setattr(corpus_pipeline, "release", calls.append)
+    for stage in (corpus_pipeline.decontaminate_stage, corpus_pipeline.encode_stage):
+        stage(spark, docs, data)
+    assert calls == [spark, spark]
